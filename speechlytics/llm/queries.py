@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechlytics.llm import spans
+from speechlytics.llm import leakage, spans
 from speechlytics.plans.registry import Registry
 from speechlytics.session import table
 
 llm_queries = Registry()
 
 
+@llm_queries.query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the held-out items it contains a passage of."""
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
+
+
+@llm_queries.query()
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which held-out items leaked, and into how many documents."""
+    return leakage.leakage_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
+
+
 @llm_queries.query()
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of documents with a common run of at least 400 code points."""
