@@ -3,14 +3,64 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from speechlytics.llm import leakage, spans
+from speechlytics.llm import consensus, leakage, spans
 from speechlytics.plans.registry import Registry
-from speechlytics.session import table
+from speechlytics.session import clean_key, table
 
 llm_queries = Registry()
 
 
+def judged(spark: SparkSession, sf_dir: str) -> consensus.Consensus | None:
+    """The consensus of the judges' error counts, with the service, the model and the reference words as features."""
+    runs = table(spark, sf_dir, "runs").filter(F.col("result").isNotNull())
+    key = clean_key("key")
+    labels = runs.select(
+        key.alias("item"),
+        clean_key("judge").alias("annotator"),
+        "repeat",
+        F.col("result.error_count").alias("label"),
+        F.coalesce(F.split(key, "[|]").getItem(0), F.lit("")).alias("service"),
+        F.concat_ws("|", F.slice(F.split(key, "[|]"), 1, 2)).alias("service_model"),
+        F.log1p(F.greatest(F.col("result.reference_words"), F.lit(0)) / F.lit(10)).alias("length"),
+    )
+    return consensus.fit_consensus(labels, ["service", "service_model"], ["length"])
+
+
+@llm_queries.query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus error count of every judged key."""
+    fitted = judged(spark, sf_dir)
+    if fitted is None:
+        return spark.createDataFrame([], "key string, error_count int")
+    return fitted.items().select(F.col("item").alias("key"), F.col("label").alias("error_count"))
+
+
+@llm_queries.query()
+def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per judged key, the consensus with its probability and how far the judges agree."""
+    fitted = judged(spark, sf_dir)
+    if fitted is None:
+        return spark.createDataFrame(
+            [], "key string, error_count int, confidence double, agreement double, n_judges bigint"
+        )
+    items = fitted.items()
+    return items.select(
+        F.col("item").alias("key"), F.col("label").alias("error_count"), "confidence", "agreement",
+        F.col("n_annotators").alias("n_judges"),
+    )
+
+
+@llm_queries.query()
+def p1_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per judge, its reliability and bias, and on which judge it depends."""
+    fitted = judged(spark, sf_dir)
+    if fitted is None:
+        return spark.createDataFrame([], "judge string, reliability double, bias double, dependent_on string")
+    return fitted.annotators().withColumnRenamed("annotator", "judge")
+
+
 @llm_queries.query()
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the held-out items it contains a passage of."""
