@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from speechlytics.session import ship_package
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,7 +22,13 @@ class Registry:
             key = name or run.__name__
             if key in self.runs:
                 raise ValueError(f"query {key} is stated twice")
-            self.runs[key] = run
+
+            @functools.wraps(run)
+            def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship_package(spark)
+                return run(spark, sf_dir)
+
+            self.runs[key] = shipped
             if sql is not None:
                 self.sqls[key] = sql
             return run

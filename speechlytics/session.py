@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +66,24 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a Spark context, by way of the shared folder."""
+    context = spark.sparkContext
+    if getattr(context, "_speechlytics_shipped", False):
+        return
+    root, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.writestr(str(p.relative_to(root.parent)), p.read_text())
+    path = f"{shared_dir(spark)}/speechlytics/code-{uuid.uuid4().hex}/speechlytics.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(data.getvalue()))
+    stream.close()
+    context.addPyFile(path)
+    context._speechlytics_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
