@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlytics.llm import consensus, leakage, spans
+from speechlytics.llm import addresses, consensus, leakage, spans
 from speechlytics.plans.registry import Registry
 from speechlytics.session import clean_key, table
 
@@ -61,6 +61,28 @@ def p1_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.annotators().withColumnRenamed("annotator", "judge")
 
 
+def address_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "items").filter(clean_key("field") == "address")
+    return items.select(clean_key("id").alias("id"), "expected", "record")
+
+
+def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "identity_results").select(clean_key("id").alias("id"), "transcript")
+
+
+@llm_queries.query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of address items that denote the same place."""
+    return addresses.same_place(addresses.resolve(address_items(spark, sf_dir), heard(spark, sf_dir)))
+
+
+@llm_queries.query()
+def p3_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each address item with its place, named by the least item id."""
+    items = address_items(spark, sf_dir)
+    return addresses.places(items, addresses.resolve(items, heard(spark, sf_dir)))
+
+
 @llm_queries.query()
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the held-out items it contains a passage of."""
