@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlytics.llm import addresses, consensus, leakage, spans
+from speechlytics.llm import addresses, consensus, leakage, packing, quantiles, spans
 from speechlytics.plans.registry import Registry
 from speechlytics.session import clean_key, table
 
@@ -83,6 +83,47 @@ def p3_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.places(items, addresses.resolve(items, heard(spark, sf_dir)))
 
 
+@llm_queries.query(
+    """
+    WITH v AS (
+        SELECT lower(trim(service_name, ' ' || chr(9))) AS service_name, coalesce(model_name, '') AS model_name,
+               strftime(timestamp AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, ttfb_seconds AS x
+        FROM results WHERE ttfb_seconds IS NOT NULL),
+    both_levels AS (SELECT * FROM v UNION ALL SELECT service_name, model_name, 'all', x FROM v),
+    r AS (
+        SELECT *, row_number() OVER (PARTITION BY service_name, model_name, day ORDER BY x) AS k,
+               count(*) OVER (PARTITION BY service_name, model_name, day) AS n
+        FROM both_levels)
+    SELECT service_name, model_name, day, n,
+           max(x) FILTER (k = (50 * n + 99) // 100) AS p50, max(x) FILTER (k = (90 * n + 99) // 100) AS p90,
+           max(x) FILTER (k = (95 * n + 99) // 100) AS p95, max(x) FILTER (k = (99 * n + 99) // 100) AS p99
+    FROM r GROUP BY service_name, model_name, day, n
+    """
+)
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median, p90, p95 and p99 of ttfb_seconds per service and model, per day and for all days; exact."""
+    rows = table(spark, sf_dir, "results").select(
+        clean_key("service_name").alias("service_name"),
+        F.coalesce("model_name", F.lit("")).alias("model_name"),
+        F.date_format("timestamp", "yyyy-MM-dd").alias("day"),
+        "ttfb_seconds",
+    )
+    return quantiles.daily_and_overall(rows, ["service_name", "model_name"], "day", "ttfb_seconds")
+
+
+@llm_queries.query()
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's container, one packing for each kind of container."""
+    return packing.packings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+@llm_queries.query()
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind, the number of containers and how full they are."""
+    kinds = table(spark, sf_dir, "containers")
+    return packing.fill_report(packing.packings(table(spark, sf_dir, "documents"), kinds), kinds)
+
+
 @llm_queries.query()
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the held-out items it contains a passage of."""
