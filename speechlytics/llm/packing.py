@@ -226,8 +226,9 @@ def pack(lengths: DataFrame, kind: str, capacity: int) -> DataFrame:
     plan = plan_packing(histogram, capacity)
     before = "PARTITION BY n_tokens ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offsets = counts.select("n_tokens", "slice", F.expr(f"coalesce(sum(n) OVER ({before}), 0)").alias("base"))
+    # A merge join, as the offsets grow with the slices and the items are already placed by both keys.
     within = F.expr("row_number() OVER (PARTITION BY n_tokens, slice ORDER BY doc_id, part)")
-    ranked = sized.withColumn("k", within).join(offsets, ["n_tokens", "slice"]).withColumn("k", F.col("k") - 1 + F.col("base"))
+    ranked = sized.withColumn("k", within).join(offsets.hint("merge"), ["n_tokens", "slice"]).withColumn("k", F.col("k") - 1 + F.col("base"))
     placed = ranked.select("doc_id", "part", "first_token", "n_tokens", "k").mapInArrow(
         _placing(plan),
         "container_id bigint, doc_id bigint, part int, first_token bigint, n_tokens bigint",
