@@ -34,7 +34,7 @@ def wer_bucket(wer: Column) -> Column:
 
 def value_bucket(value: Column) -> Column:
     """A monotone step function of a number, finer than one percent of its size; used to split groups evenly enough."""
-    size = F.ceil(F.log(F.lit(1.01), F.greatest(F.least(F.abs(value), F.lit(1e12)), F.lit(1e-9)))) + F.lit(3000)
+    size = F.ceil(F.log(1.01, F.greatest(F.least(F.abs(value), F.lit(1e12)), F.lit(1e-9)))) + F.lit(3000)
     return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("int")
 
 
