@@ -197,11 +197,12 @@ def cross_rates(honest: DataFrame, records: DataFrame, score: str, rules: tuple[
     )
 
 
-def verification_flow(callers: DataFrame, results: DataFrame) -> DataFrame:
+def verification_flow(callers: DataFrame, results: DataFrame, hinted: str = "record") -> DataFrame:
     """One decision a caller, vendor and policy: name, then spelling if the name fails, then date of birth.
 
     ``callers`` has (id, surname, dob, impostor, homophone); the spelled and the dob clip of caller c are
-    flow_spelled_c and flow_dob_c. Only callers with all of their clips count. ``results`` is valid and latest.
+    flow_spelled_c and flow_dob_c. Only callers with all of their clips count. ``results`` is valid and latest;
+    ``hinted`` is the condition whose transcripts were made with the record as a hint.
     """
     def clip(condition: str, prefix: str, name: str) -> DataFrame:
         rows = results.filter((F.col("condition") == condition) & F.col("id").startswith(prefix))
@@ -210,7 +211,7 @@ def verification_flow(callers: DataFrame, results: DataFrame) -> DataFrame:
 
     whole = callers
     for condition, prefix, name in (
-        ("none", "", "honest"), ("record", "", "hinted"), ("none", "flow_spelled_", "spelling"), ("none", "flow_dob_", "birth")
+        ("none", "", "honest"), (hinted, "", "hinted"), ("none", "flow_spelled_", "spelling"), ("none", "flow_dob_", "birth")
     ):
         keys = ["id"] if name == "honest" else ["vendor", "id"]
         whole = whole.join(clip(condition, prefix, name), keys)
@@ -222,8 +223,8 @@ def verification_flow(callers: DataFrame, results: DataFrame) -> DataFrame:
         I.function("dob_match")(F.col("birth"), F.col("dob")).alias("born"),
     )
     decisions = []
-    for label, hinted, fallback, dob in POLICIES:
-        similarity = F.col("hinted" if hinted else "honest")
+    for label, with_hint, fallback, dob in POLICIES:
+        similarity = F.col("hinted" if with_hint else "honest")
         named = similarity >= (1.0 if fallback is None else 0.95)
         spelling = F.lit(False) if fallback is None else ~named
         passed = named | (spelling & (F.col("spelling") >= (fallback or 0.0)))

@@ -275,16 +275,21 @@ def identity_email_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @identities.query()
 def identity_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One decision a caller under five policies; the clips of a caller share its number."""
+    """One decision a caller under five policies; of several clips of a caller and kind the one with the least id counts."""
     every = items(spark, sf_dir)
-    number = F.regexp_extract("id", r"(\d+)$", 1)
-    born = every.filter(F.col("field") == "flow_dob").select(number.alias("k"), F.col("record.dob").alias("dob"))
+    born = every.filter((F.col("field") == "flow_dob") & F.col("record.dob").isNotNull())
+    born = born.groupBy(F.col("caller").alias("id")).agg(F.min_by("record.dob", "id").alias("dob"))
     callers = every.filter((F.col("field") == "name") & F.col("record.surname").isNotNull()).select(
-        number.alias("id"), F.col("record.surname").alias("surname"), "impostor", "homophone"
+        "id", F.col("record.surname").alias("surname"), "impostor", "homophone"
     )
-    callers = callers.join(born.filter(F.col("dob").isNotNull()), F.col("id") == F.col("k")).drop("k")
-    clip = F.regexp_replace(F.regexp_replace("id", r"^name_(\d+)$", "$1"), r"^(flow_[a-z]+_)(\d+)$", "$1$2")
-    return V.verification_flow(callers, valid_results(spark, sf_dir).withColumn("id", clip))
+    of_flow = F.col("field").startswith("flow_") & F.col("caller").isNotNull()
+    clip = F.when(of_flow, F.concat_ws("_", "field", "caller")).otherwise(F.col("id"))
+    heard = (
+        valid_results(spark, sf_dir).join(every.select("id", "field", "caller"), "id")
+        .groupBy("vendor", "condition", clip.alias("clip")).agg(F.min_by("transcript", "id").alias("transcript"))
+        .withColumnRenamed("clip", "id")
+    )
+    return V.verification_flow(callers.join(born, "id"), heard, hinted="domain")
 
 
 @identities.query()

@@ -39,9 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="speechlytics-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="speechlytics-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -56,6 +55,9 @@ class Written:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path)
         self.schema = df.schema
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        # Results are read lazily, so what is not dropped before goes when the driver ends.
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
