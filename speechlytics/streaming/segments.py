@@ -76,7 +76,7 @@ def sample_results(samples: DataFrame, collected: DataFrame, metrics: DataFrame)
 
 def _collector(quiet: float, cap: float) -> Callable:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempt, texts, first, last = state.get if state.exists else (-1, [], 0.0, 0.0)
+        attempt, texts, first, last = state.get if state.exists else (-1, [], 0, 0)
         if state.hasTimedOut:
             state.remove()
             if texts:
@@ -85,23 +85,23 @@ def _collector(quiet: float, cap: float) -> Callable:
         rows = pd.concat(list(batches)).sort_values(["attempt", "ts", "seq"], kind="stable")
         closed = None
         for r in rows.itertuples():
-            at = r.ts.timestamp()
+            at = r.ts.value // 1000  # microseconds, as whole numbers
             if r.attempt < attempt:
                 continue
             if r.attempt > attempt:
                 attempt, texts, first, last, closed = int(r.attempt), [], at, at, None
-            if closed or at - first > cap or (texts and at - last >= quiet):
+            if closed or at - first > cap * 1e6 or (texts and at - last >= quiet * 1e6):
                 closed = True
                 continue
             texts, last = [*texts, r.text], max(last, at)
         state.update((attempt, texts, first, last))
-        state.setTimeoutTimestamp(int(min(last + quiet, first + cap) * 1000) + 1)
+        state.setTimeoutTimestamp(int(min(last + quiet * 1e6, first + cap * 1e6) // 1000) + 1)
 
     return step
 
 
-def _collected(sample: str, attempt: int, texts: list[str], first: float, last: float) -> pd.DataFrame:
-    at = lambda s: pd.Timestamp(s, unit="s", tz="UTC").tz_localize(None)
+def _collected(sample: str, attempt: int, texts: list[str], first: int, last: int) -> pd.DataFrame:
+    at = lambda us: pd.Timestamp(us, unit="us")
     row = (sample, attempt, " ".join(texts), len(texts), at(first), at(last))
     return pd.DataFrame([row], columns=["sample_id", "attempt", "transcription", "n_segments", "first_ts", "last_ts"])
 
@@ -114,7 +114,7 @@ def collect_stream(segments: DataFrame, quiet: float = QUIET, cap: float = CAP)
     """
     watched = segments.withWatermark("ts", f"{int(cap)} seconds")
     return watched.groupBy("sample_id").applyInPandasWithState(
-        _collector(quiet, cap), COLLECTED, "attempt int, texts array<string>, first double, last double", "append",
+        _collector(quiet, cap), COLLECTED, "attempt int, texts array<string>, first bigint, last bigint", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
