@@ -197,7 +197,10 @@ def plan_packing(histogram: Counter, capacity: int) -> Plan:
     """
     left = Counter({s: n for s, n in histogram.items() if n > 0})
     plan = Plan(capacity)
+    least = sum(s * n for s, n in left.items()) / capacity
     for over_half in (True, False):
+        if not over_half and sum(n for s, n in left.items() if 2 * s > capacity) > least / 50:
+            break  # many large items found no exact partners: the small ones are needed beside them
         while left:
             before = sum(left.values())
             plan.rows += _fit(left, capacity, over_half)
