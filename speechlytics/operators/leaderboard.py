@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechlytics.operators.stats import UPPER_MEDIAN, order_statistics, pooled, rank_percentiles, truncated_rank
+from speechlytics.operators.stats import UPPER_MEDIAN, order_statistics, pooled, truncated_rank
 from speechlytics.operators.store import no_model
 
 _KEY = ["service_name", "model_name"]
@@ -29,11 +29,20 @@ def service_summary(scores: DataFrame, results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sample_count"), F.avg("wer").alias("wer_mean"),
         pooled(errors, F.col("reference_words")).alias("pooled_wer"), F.count_if(F.col("wer") == 0).alias("perfect_count"),
     )
-    wer = order_statistics(rows, _KEY, "wer", {"wer_median": UPPER_MEDIAN, "wer_p95": truncated_rank(0.95)}).drop("n")
-    latency = rank_percentiles(rows, _KEY, "ttfb_seconds").drop("n")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(f"ttfb_{c}")
-    return base.join(wer, _KEY, "left").join(latency, _KEY, "left").select(
-        *base.columns, "wer_median", "wer_p95", zero("median"), zero("p95"), zero("p99")
+    # Both measures go through one ranking, as rows of (measure, value).
+    measures = F.explode(F.array(*(
+        F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in ("wer", "ttfb_seconds")
+    ))).alias("m")
+    long = rows.select(*_KEY, measures).select(*_KEY, "m.measure", "m.value")
+    at = {"median": UPPER_MEDIAN, "p95": truncated_rank(0.95), "p99": truncated_rank(0.99)}
+    ranks = order_statistics(long, [*_KEY, "measure"], "value", at)
+    of = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
+    zero = lambda c: F.coalesce(of("ttfb_seconds", c), F.lit(0.0)).alias(f"ttfb_{c}")
+    wide = ranks.groupBy(*_KEY).agg(
+        of("wer", "median").alias("wer_median"), of("wer", "p95").alias("wer_p95"), zero("median"), zero("p95"), zero("p99")
+    )
+    return base.join(wide, _KEY, "left").withColumns(
+        {c: F.coalesce(c, F.lit(0.0)) for c in ("ttfb_median", "ttfb_p95", "ttfb_p99")}
     )
 
 
