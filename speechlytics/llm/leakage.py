@@ -310,12 +310,12 @@ def leaked_items(
     """(item_id, doc_id): the documents that contain a passage of an item.
 
     ``documents`` has doc_id and text, ``items`` item_id and text; NULL and empty texts match nothing, items shorter
-    than ``least`` words cannot be found, an item that stands several times in a document gives one row, and a doc_id
-    or item_id written twice gives a row for each time it matches, made distinct. The items are the stated query set: they
+    than ``least`` words cannot be found, items without an id are left out, and an item that stands several times in a
+    document, or rows written twice, give one row. The items are the stated query set: they
     are brought to the driver in blocks of ITEM_BLOCK and sent to all tasks; every document is read whole, once a
     block, and nothing is shuffled but the result.
     """
-    query = items.select("item_id", "text").filter(F.col("text").isNotNull())
+    query = items.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     rows = sorted((r[0], r[1]) for r in query.toLocalIterator())
     schema = "item_id bigint, doc_id bigint"
     slim = documents.select("doc_id", "text")

@@ -189,7 +189,7 @@ def anchor_pairs(
     carry the hash of the whole text between them and are skipped, so a run gives its two ends and not a pair for
     each anchor. The first record's anchors with none before them always count.
     """
-    slim = documents.select("doc_id", "text")
+    slim = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     found = Written(
         slim.mapInArrow(_anchor_batches(least, shingle), "doc_id bigint, pos int, gram bigint"), "anchors"
     )
@@ -197,7 +197,7 @@ def anchor_pairs(
     shared = spread.filter(F.col("lo") < F.col("hi")).select("gram")
     hits = (
         found.read().join(shared, "gram", "left_semi")
-        .groupBy("doc_id").agg(F.collect_list(F.struct("pos", "gram")).alias("hits"))
+        .groupBy("doc_id").agg(F.collect_set(F.struct("pos", "gram")).alias("hits"))
     )
     around = Written(
         slim.join(hits, "doc_id").mapInArrow(
@@ -232,7 +232,8 @@ def sharing_pairs(documents: DataFrame, least: int = 400, shingle: int = 300) ->
     """(doc_a, doc_b), doc_a < doc_b: the pairs of records with a common run of at least ``least`` code points.
 
     Exact: case and white space count; a run repeated within one record only is no case. NULL and shorter
-    texts share nothing. ``documents`` has doc_id (unique) and text; further columns are ignored.
+    texts share nothing, rows without a doc_id are left out, a row written twice counts once. ``documents`` has doc_id
+    (of one text) and text; further columns are ignored.
     """
     pairs = anchor_pairs(documents, least, shingle, only_starts=True)
     return pairs.filter(F.col("before") + F.col("after") >= least - shingle).select("doc_a", "doc_b").distinct()
