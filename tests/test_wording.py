@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,27 @@ def test_word_counts(spark):
     assert [(r.text, r.got) for r in df.collect()] == COUNTS
 
 
+def slow_count(text):
+    """Words by the definition, token by token."""
+    total = 0
+    for token in text.lower().replace("’", "'").split():
+        core = token.strip(W.EDGE_MARKS)
+        if any(c.isalpha() or c.isnumeric() for c in core):
+            total += 1 + (core.endswith(W.CONTRACTION_ENDINGS) or (core[-2:] == "'s" and core[:-2] in W.IS_STEMS))
+    return total
+
+
+def test_word_counts_against_the_definition(spark):
+    rng = random.Random(8)
+    parts = ["it", "'s", "n't", "can", "'d", "let's", "that's", "(it's)", "'m", ".", ",", "…", " ", "  ", "\n", "x", "42", "-", "’s", "dog", '"', "'", "we'll!", "[he's]"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", W.count_words(F.col("t")).alias("n"))
+    wrong = [(r.t, r.n, slow_count(r.t)) for r in df.collect() if r.n != slow_count(r.t)]
+    assert not wrong, wrong[:5]
+    words = spark.createDataFrame([("(Hi), it's 7:30 — ok…",)], "t string").select(W.plain_words(F.col("t"))).first()[0]
+    assert words == ["hi", "it's", "7:30", "ok"]
+
+
 def test_error_weights(spark):
     df = spark.createDataFrame(WEIGHTS, "type string, r string, h string, expected int")
     got = df.select("expected", W.error_weight(F.col("type"), F.col("r"), F.col("h")).alias("got")).collect()
