@@ -204,5 +204,28 @@ def pcm_samples(content: Column) -> Column:
     return F.pandas_udf(convert, "array<float>")(content)
 
 
+def wav_column(content: Column, rate: int = RATE) -> Column:
+    """s16le mono bytes with a WAV header before them."""
+    import io
+    import wave
+
+    def wrap(a: pd.Series) -> pd.Series:
+        def one(raw: bytes | None) -> bytes | None:
+            if raw is None:
+                return None
+            out = io.BytesIO()
+            with wave.open(out, "wb") as w:
+                w.setnchannels(1)
+                w.setsampwidth(2)
+                w.setframerate(rate)
+                w.writeframes(raw)
+            return out.getvalue()
+
+        return pd.Series([one(x) for x in a], dtype=object)
+
+    wrap.__annotations__ = {"a": pd.Series, "return": pd.Series}
+    return F.pandas_udf(wrap, "binary")(content)
+
+
 def pcm_seconds(content: Column, rate: int = RATE) -> Column:
     return F.octet_length(content) / 2 / rate

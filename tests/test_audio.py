@@ -63,3 +63,5 @@ def test_samples(spark):
     got = df.select(audio.pcm_samples(F.col("c")).alias("s"), audio.pcm_column(F.col("c"), F.col("r")).alias("p"), audio.pcm_seconds(F.col("c")).alias("t")).collect()
     assert got[0].s == [0.5, -1.0] and len(got[0].p) == 4 and got[0].t == 2 / 16000
     assert got[1].s is None and got[1].p is None and got[2].s == []
+    wrapped = [r[0] for r in df.select(audio.wav_column(F.col("c"))).collect()]
+    assert wrapped[0][:4] == b"RIFF" and wrapped[0].endswith(raw) and len(wrapped[0]) == 48 and wrapped[1] is None
