@@ -192,12 +192,13 @@ def candidate_regions(index: ItemIndex, there: np.ndarray, texts: list[bytes]) -
     ]
 
 
-def contains_passage(item: list[str], doc: list[str], least: int, one_in: int) -> bool:
+def contains_passage(item: list[str], doc: list[str], least: int, one_in: int, open_end: bool = False) -> bool:
     """Whether some ``least`` or more consecutive words of ``item`` stand in ``doc`` with few enough edits.
 
-    Edits are words altered, dropped or inserted, at most one in ``one_in`` of the item's words; a passage begins and
-    ends with words that agree. Words written apart or together in one of the two are no edit. All beginnings in the
-    item are aligned at once: row by item word, the best number of edits by (beginning, place in doc).
+    Edits are words altered, dropped or inserted, at most one in ``one_in`` of the item's words. A passage may begin
+    with an edit, and end with one where ``open_end`` is set, else its last word must agree. Words written apart or
+    together in one of the two are no edit. All beginnings in the item are aligned at once: row by item word, the best
+    number of edits by (beginning, place in doc).
     """
     n, m = len(item), len(doc)
     if n < least or not m:
@@ -242,7 +243,7 @@ def contains_passage(item: list[str], doc: list[str], least: int, one_in: int) -
         if j + 1 < wide:
             now[j + 1 :] = far
         length = j + 1 - np.arange(wide)
-        fits = (now[:, 1:] <= (length // one_in)[:, None]) & ends[None, :] & (length >= least)[:, None]
+        fits = (now[:, 1:] <= (length // one_in)[:, None]) & (ends | open_end)[None, :] & (length >= least)[:, None]
         if fits.any():
             return True
         older, before = before, now
@@ -262,7 +263,7 @@ def verified(index: ItemIndex, item: int, doc: list[str], ends: np.ndarray, regi
     for diagonal in regions:
         low = np.searchsorted(ends, diagonal - index.band, side="right")
         high = np.searchsorted(begins, diagonal + length + 2 * index.band, side="left")
-        if contains_passage(index.words[item], doc[low:high], index.least, index.one_in):
+        if contains_passage(index.words[item], doc[low:high], index.least, index.one_in, open_end=True):
             return True
     return False
 

@@ -42,6 +42,33 @@ def test_alignment_against_brute_force():
     assert agree >= 297  # cases that only an edit at a passage's very end would make are not counted
 
 
+def test_an_edit_at_either_end_counts_as_any_other():
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(40)]
+    only_open = 0
+    for _ in range(300):
+        item = [rng.choice(vocabulary) for _ in range(rng.randint(12, 26))]
+        doc = item[: rng.randint(11, len(item))] + ["tail"] * 4
+        for _ in range(rng.randint(0, 3)):
+            doc[rng.randrange(len(doc))] = "new"
+        n = len(item)
+        want = any(best_edits(item[i:j], doc) <= (j - i) // 7 for i in range(n) for j in range(i + 14, n + 1))
+        assert L.contains_passage(item, doc, 14, 7, open_end=True) == want
+        only_open += want and not L.contains_passage(item, doc, 14, 7)
+    assert only_open
+
+
+def test_documents_with_an_edit_at_an_end(spark):
+    item = [f"word{chr(97 + k)}" for k in range(20)]
+    docs = {
+        1: item[:13] + ["altered"], 2: ["altered"] + item[1:14], 3: item[:13], 4: item[:13] + ["one", "two"],
+        5: item[:11] + ["one", "two", "three"], 6: ["one", "two", "three"] + item[3:14],
+    }
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    table = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert rows(L.leaked_items(df, table)) == [(7, 1), (7, 2), (7, 3), (7, 4)]
+
+
 def test_words_written_apart_or_together():
     item = "the quick brown fox jumps over the lazy dog while nobody looks at it".split()
     assert L.contains_passage(item, "the qu ick brown fox jumpsover the lazy dog while nobody looks at it".split(), 14, 7)
