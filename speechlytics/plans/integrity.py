@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from speechlytics.operators.deliveries import admit_batch, first_delivery, redelivered
 from speechlytics.operators.orphans import ForeignKey, orphan_cascade, temporal_orphans
 from speechlytics.plans.registry import Registry
-from speechlytics.session import clean_key, clean_key_or, table
+from speechlytics.session import Written, clean_key, clean_key_or, table
 
 integrity = Registry()
 
@@ -161,7 +161,11 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def p5_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct and inherited orphans: judged keys hang from results, results hang from samples."""
+    """Direct and inherited orphans: judged keys hang from results, results hang from samples.
+
+    As its SQL states, it counts distinct judged keys and leaves out gold_transcripts and months;
+    ``p5_cascade_months`` reports whole rows of all three tables.
+    """
     results = table(spark, sf_dir, "results").filter(F.col("sample_id").isNotNull())
     key = F.concat_ws(
         "|", clean_key("service_name"), F.coalesce(clean_key("model_name"), F.lit("")), clean_key("sample_id")
@@ -177,3 +181,81 @@ def p5_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"results": rows.select("row_id", "key"), "runs": judged.select(F.col("key").alias("row_id"), "key")}
     found = orphan_cascade(tables, [ForeignKey("runs", "key", "results", "key")], {"results": lost})
     return found.groupBy("table_name", "kind", "level").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def orphan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orphans of results, gold_transcripts and runs: (table_name, period, sample_id, reason, kind, level, n).
+
+    References to samples are direct orphans by ``temporal_orphans``; a judgment is one where no result has its key, and
+    inherits where all results of its key are orphans. runs has no time of its own: an inherited orphan takes the month
+    of the last of its results, as they are all orphans only from then on, and a direct one has no month. Rows
+    of gold_transcripts and runs that are alike in all that matters here are one record that stands for n rows.
+    """
+    key = F.concat(
+        clean_key("service_name"), F.lit("|"), F.coalesce(clean_key("model_name"), F.lit("")), F.lit("|"),
+        clean_key("sample_id"),
+    )
+    results = (
+        table(spark, sf_dir, "results")
+        .filter(F.col("sample_id").isNotNull())
+        .select(
+            F.lit("results").alias("table_name"), F.col("id").cast("string").alias("row_id"), key.alias("key"),
+            clean_key("sample_id").alias("ref_id"), F.col("timestamp").alias("ref_time"), F.lit(1).cast("long").alias("n"),
+        )
+    )
+    texts = (
+        table(spark, sf_dir, "gold_transcripts")
+        .filter(F.col("sample_id").isNotNull())
+        .groupBy(clean_key("sample_id").alias("ref_id"), F.col("generated_at").alias("ref_time"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    at = F.coalesce(F.unix_micros("ref_time").cast("string"), F.lit(""))
+    texts = texts.select(
+        F.lit("gold_transcripts").alias("table_name"), F.concat(at, F.lit(" "), "ref_id").alias("row_id"),
+        F.lit(None).cast("string").alias("key"), "ref_id", "ref_time", "n",
+    )
+    runs = table(spark, sf_dir, "runs").select(clean_key("key").alias("key")).filter(F.col("key").isNotNull())
+    judged = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(F.col("key").alias("row_id"), "key", "n")
+
+    lost = Written(temporal_orphans(results.unionByName(texts), sample_periods(spark, sf_dir)), "orphan-references").read()
+    tables = {"results": results, "gold_transcripts": texts, "runs": judged}
+    direct = {n: lost.filter(F.col("table_name") == n).select("row_id") for n in ("results", "gold_transcripts")}
+    found = orphan_cascade(tables, [ForeignKey("runs", "key", "results", "key")], direct)
+    references = found.join(lost, ["table_name", "row_id"]).select(
+        "table_name", _period(), F.col("ref_id").alias("sample_id"), "reason", "kind", "level", "n"
+    )
+    last = lost.filter(F.col("key").isNotNull()).groupBy("key").agg(F.max("ref_time").alias("ref_time"))
+    none = F.lit(None).cast("string")
+    judgments = (
+        found.filter(F.col("table_name") == "runs")
+        .join(judged, "row_id")
+        .join(last, "key", "left")
+        .select("table_name", _period(), none.alias("sample_id"), none.alias("reason"), "kind", "level", "n")
+    )
+    return references.unionByName(judgments)
+
+
+@integrity.query(
+    _ORPHANS_SQL
+    + """
+    , r AS (
+        SELECT lower(trim(service_name, ' ' || chr(9))) || '|'
+               || coalesce(lower(trim(model_name, ' ' || chr(9))), '') || '|'
+               || lower(trim(sample_id, ' ' || chr(9))) AS key, timestamp AS t,
+               NOT EXISTS (SELECT 1 FROM s WHERE s.sid = lower(trim(results.sample_id, ' ' || chr(9)))
+                   AND s.added_at <= timestamp AND (s.removed_at IS NULL OR timestamp < s.removed_at)) AS lost
+        FROM results WHERE sample_id IS NOT NULL),
+    p AS (SELECT key, bool_and(lost) AS lost, max(t) AS t FROM r WHERE key IS NOT NULL GROUP BY key),
+    j AS (SELECT lower(trim(key, ' ' || chr(9))) AS key FROM runs WHERE key IS NOT NULL)
+    SELECT table_name, period, 'direct' AS kind, 0 AS level, count(*) AS n_rows FROM lost GROUP BY table_name, period
+    UNION ALL
+    SELECT 'runs', NULL, 'direct', 0, count(*) FROM j WHERE key NOT IN (SELECT key FROM p) HAVING count(*) > 0
+    UNION ALL
+    SELECT 'runs', strftime(p.t AT TIME ZONE 'UTC', '%Y-%m'), 'inherited', 1, count(*)
+    FROM j JOIN p USING (key) WHERE p.lost GROUP BY 2
+    """
+)
+def p5_cascade_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of results, gold_transcripts and runs are direct or inherited orphans, per month."""
+    found = orphan_records(spark, sf_dir)
+    return found.groupBy("table_name", "period", "kind", "level").agg(F.sum("n").alias("n_rows"))

@@ -1,7 +1,10 @@
 import random
 from datetime import datetime
 
+import pytest
+
 from speechlytics.operators import deliveries, orphans
+from speechlytics.plans import integrity
 from tests.conftest import rows
 
 KEYS = ["id", "vendor"]
@@ -100,3 +103,38 @@ def test_a_parent_key_with_one_live_row_is_alive(spark):
     assert orphans.orphan_cascade({"parent": parent, "child": child}, key, {"parent": lost}).count() == 1
     both = parent.select("row_id")
     assert orphans.orphan_cascade({"parent": parent, "child": child}, key, {"parent": both}).count() == 3
+
+
+@pytest.fixture(scope="module")
+def orphaned(spark, tmp_path_factory):
+    """Tables whose orphans are known: sample a is there from 2025-01-05 to 2025-01-10, b from 2025-01-01 on."""
+    folder = tmp_path_factory.mktemp("orphaned")
+
+    def put(name, data, schema):
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+
+    put("samples", [("A ", day(5), day(10)), ("b", day(1), None)], "sample_id string, added_at timestamp, removed_at timestamp")
+    later = datetime(2025, 2, 3)
+    put(
+        "results",
+        [
+            (1, " a", "S", None, day(4)), (2, "a", "s", "", later), (3, "a", "s", "m", day(6)), (4, "a", "s", "m", day(12)),
+            (5, "b", "s", "m", day(6)), (6, "gone", "s", "m", later), (7, None, "s", "m", later),
+        ],
+        "id long, sample_id string, service_name string, model_name string, timestamp timestamp",
+    )
+    put("gold_transcripts", [("a", later), ("A", later), ("b", later), ("c", day(7)), (None, day(7))], "sample_id string, generated_at timestamp")
+    keys = ["s||a", "S||A ", "s||a", "s|m|a", "s|m|b", "s|m|gone", "no|such|key", "no|such|key", None]
+    put("runs", [("j", k) for k in keys], "judge string, key string")
+    return str(folder)
+
+
+def test_whole_rows_of_all_tables_by_month_and_kind(spark, orphaned):
+    assert rows(integrity.p5_cascade_months(spark, orphaned)) == sorted(
+        [
+            ("results", "2025-01", "direct", 0, 2), ("results", "2025-02", "direct", 0, 2),
+            ("gold_transcripts", "2025-02", "direct", 0, 2), ("gold_transcripts", "2025-01", "direct", 0, 1),
+            ("runs", None, "direct", 0, 2), ("runs", "2025-02", "inherited", 1, 4),
+        ],
+        key=repr,
+    )
