@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,13 +86,6 @@ def sample_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sample_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda name, when: table(spark, sf_dir, name).select(
-        F.lit(name).alias("table_name"), clean_key("sample_id").alias("ref_id"), F.col(when).alias("ref_time")
-    )
-    return reduce(DataFrame.unionByName, [of("results", "timestamp"), of("gold_transcripts", "generated_at")])
-
-
 def _period() -> Column:
     return F.date_format("ref_time", "yyyy-MM").alias("period")
 
@@ -118,9 +109,8 @@ _ORPHANS_SQL = """
 
 @integrity.query(_ORPHANS_SQL + "SELECT DISTINCT table_name, period, sample_id, reason FROM lost")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orphan references to samples, per table and month."""
-    lost = temporal_orphans(sample_references(spark, sf_dir), sample_periods(spark, sf_dir))
-    return lost.select("table_name", _period(), F.col("ref_id").alias("sample_id"), "reason").distinct()
+    """The orphan references to samples, per table and month: the cascade's rows of level 0 that refer to samples."""
+    return sample_orphans(spark, sf_dir).select("table_name", "period", "sample_id", "reason").distinct()
 
 
 @integrity.query(
@@ -132,8 +122,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many references are orphans, per table, month and reason."""
-    lost = temporal_orphans(sample_references(spark, sf_dir), sample_periods(spark, sf_dir))
-    by_id = lost.groupBy("table_name", _period(), "reason", "ref_id").agg(F.count(F.lit(1)).alias("n"))
+    lost = sample_orphans(spark, sf_dir)
+    by_id = lost.groupBy("table_name", "period", "reason", "sample_id").agg(F.sum("n").alias("n"))
     return by_id.groupBy("table_name", "period", "reason").agg(
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_ids")
     )
@@ -235,6 +225,12 @@ def orphan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.unionByName(judgments)
 
 
+def sample_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the orphans, the references to samples, which are all of level 0."""
+    found = orphan_records(spark, sf_dir)
+    return found.filter(F.col("table_name").isin("results", "gold_transcripts") & (F.col("level") == 0))
+
+
 @integrity.query(
     _ORPHANS_SQL
     + """

@@ -138,3 +138,23 @@ def test_whole_rows_of_all_tables_by_month_and_kind(spark, orphaned):
         ],
         key=repr,
     )
+
+
+def test_orphan_references_come_from_the_cascade(spark, orphaned, monkeypatch):
+    given = []
+
+    def cascade(tables, keys, direct):
+        given.append(set(tables))
+        return orphans.orphan_cascade(tables, keys, direct)
+
+    monkeypatch.setattr(integrity, "orphan_cascade", cascade)
+    assert rows(integrity.p5_found(spark, orphaned)) == sorted(
+        [
+            ("results", "2025-01", "a", "early"), ("results", "2025-02", "a", "removed"), ("results", "2025-01", "a", "removed"),
+            ("results", "2025-02", "gone", "missing"), ("gold_transcripts", "2025-02", "a", "removed"),
+            ("gold_transcripts", "2025-01", "c", "missing"),
+        ],
+        key=repr,
+    )
+    assert ("gold_transcripts", "2025-02", "removed", 2, 1) in rows(integrity.p5_report(spark, orphaned))
+    assert given == [{"results", "gold_transcripts", "runs"}] * 2
