@@ -1,11 +1,17 @@
 """Filling fixed-capacity containers with items.
 
-Method: pattern packing by non-negative least squares. The histogram of the lengths is matched by patterns of two or three
-items that fill a container exactly; a non-negative least-squares fit gives each pattern's repeat count, counts are
-rounded, and what remains of the histogram is packed by best fit over lengths, with the short items as fillers.
+Method: pattern packing by non-negative least squares. Patterns are pairs and triples of lengths that fill a box exactly;
+a non-negative least-squares fit to the histogram of the lengths gives each pattern's repeat count, counts are rounded,
+and what remains of the histogram is packed by best fit. A box is the container, half of it, a quarter and so on: first
+the items over half a box are fitted, with any partners, then what is left is fitted to boxes half as large, two of
+which make one. So short items too stand in patterns of two or three, however many of them a container holds.
+
+Not all patterns are written down: the fit begins with the pairs, and patterns that would lower its distance most are
+priced out of all triples and added until none helps (column generation). Nothing is thinned or left out.
 
 Everything about the plan is a function of the histogram, whose size the capacity bounds; the items themselves are
-only numbered within their length and look their container up in the plan by arithmetic on that number.
+only numbered within their length, once for all kinds of containers, and look their container up in the plan by
+arithmetic on that number.
 """
 
 from __future__ import annotations
@@ -24,8 +30,12 @@ from pyspark.sql import functions as F
 
 from speechlytics.session import Written
 
-#: Patterns that a fit considers, and the part of the capacity under which items serve as fillers.
-PATTERNS, LEAST_PART = 60_000, 16
+#: Rounds of pricing, and of the updates of a fit, after which it is good enough however much it still moves.
+PRICINGS, UPDATES = 12, 400
+#: Repeat counts under this are not rounded up.
+NEVER = 0.02
+#: The share of the items of at most a quarter of the capacity that is kept loose for the best fit of the residuals.
+LOOSE = 0.04
 _encoders: dict[str, object] = {}
 
 
@@ -62,81 +72,115 @@ def token_lengths(documents: DataFrame, path: str | None = None) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
 
-def few_item_patterns(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Pairs and triples of sizes that fill a container exactly, as rows of indices into ``sizes`` (-1: no third).
+def pairs_that_fill(sizes: np.ndarray, box: int, least: int) -> np.ndarray:
+    """Pairs of sizes that fill a box, and single ones that do, as rows of places in ``sizes`` (-1: none).
+
+    ``sizes`` are distinct and sorted; the larger of a pair is at least ``least``.
+    """
+    at = np.full(box + 1, -1)
+    at[sizes] = np.arange(len(sizes))
+    other = at[box - sizes]
+    large = np.flatnonzero((other >= 0) & (2 * sizes >= box) & (sizes >= least))
+    rows = np.stack([large, other[large], np.full(len(large), -1)], 1)
+    full = at[box]
+    return np.concatenate([rows, [[full, -1, -1]]]) if full >= 0 and box >= least else rows
+
+
+def priced_triples(sizes: np.ndarray, box: int, least: int, rest: np.ndarray) -> np.ndarray:
+    """For every size, as the largest and as the second of a triple that fills a box, the one with the most of ``rest``.
 
-    ``sizes`` are distinct and sorted. If there are more than PATTERNS triples, those of an even selection of second
-    sizes are used; that bounds the plan's cost, and sizes left out of it are packed with the residuals.
+    Looks at all triples whose largest size is at least ``least``, and gives those with a positive sum; of equal ones the
+    first counts.
     """
-    at = np.full(capacity + 1, -1)
+    at = np.full(box + 1, -1)
     at[sizes] = np.arange(len(sizes))
-    other = at[capacity - sizes]
-    pairs = np.flatnonzero((other >= 0) & (sizes * 2 <= capacity))
-    found = [np.stack([pairs, other[pairs], np.full(len(pairs), -1)], 1)]
-    stride = max(1, int(np.ceil(len(sizes) ** 2 / (6 * PATTERNS))))
-    for i, s in enumerate(sizes):
-        second = np.arange(i + (i % stride), len(sizes), stride)
-        third = capacity - s - sizes[second]
-        second, third = second[third >= sizes[second]], third[third >= sizes[second]]
-        good = at[third] >= 0
-        if good.any():
-            found.append(np.stack([np.full(good.sum(), i), second[good], at[third[good]]], 1))
-    return np.concatenate(found)
-
-
-def nonnegative_least_squares(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
+    found = []
+    top, largest, smallest = np.full(len(sizes), 1e-6), np.full(len(sizes), -1), np.full(len(sizes), -1)
+    for i in range(np.searchsorted(sizes, max(least, -(-box // 3))), len(sizes)):
+        room = box - sizes[i]
+        stop = np.searchsorted(sizes, min(sizes[i], room - 1), side="right")
+        third = at[room - sizes[:stop]]
+        second = np.flatnonzero((third >= 0) & (sizes[:stop] * 2 >= room))
+        if not len(second):
+            continue
+        third = third[second]
+        gain = rest[second] + rest[third] + rest[i]
+        best = int(np.argmax(gain))
+        if gain[best] > 1e-6:
+            found.append((i, second[best], third[best]))
+        better = gain > top[second]
+        top[second[better]], largest[second[better]], smallest[second[better]] = gain[better], i, third[better]
+    had = np.flatnonzero(largest >= 0)
+    every = np.concatenate([np.array(found, np.int64).reshape(-1, 3), np.stack([largest[had], had, smallest[had]], 1)])
+    return np.unique(every, axis=0)
+
+
+def nonnegative_least_squares(patterns: np.ndarray, counts: np.ndarray, rounds: int = UPDATES, x: np.ndarray | None = None) -> np.ndarray:
     """x >= 0 that nearly minimises |a x - counts|, where column p of a counts the sizes in pattern p.
 
     Multiplicative updates: x * (a'b) / (a'a x) keeps x positive and never increases the distance, and with a few
-    entries in a column costs one pass over the patterns a round.
+    entries in a column costs one pass over the patterns a round. Ends when x moves by less than a ten-thousandth.
     """
     n = len(counts)
-    flat = np.where(patterns < 0, n, patterns)
+    columns = [np.where(c < 0, n, c) for c in patterns.T]  # with a slot for what is missing
+    flat = np.concatenate(columns)
+    target = np.append(counts, 0.0)
 
-    def applied(x: np.ndarray) -> np.ndarray:  # a x, with a slot for the missing third
-        return np.bincount(flat.ravel(), np.repeat(x, flat.shape[1]), n + 1)
+    def summed(values: np.ndarray) -> np.ndarray:
+        out = values[columns[0]]
+        for c in columns[1:]:
+            out = out + values[c]
+        return out
 
-    target = np.append(counts, 0.0)
-    wanted = target[flat].sum(1)
-    x = np.maximum(wanted, 1e-9) / max(1, len(patterns))
-    for _ in range(rounds):
-        now = applied(x)
+    wanted = summed(target)
+    x = np.maximum(wanted, 1e-9) / max(1, len(patterns)) if x is None else x
+    for k in range(rounds):
+        now = np.bincount(flat, np.tile(x, len(columns)), n + 1)  # a x
         now[n] = 0
-        x = x * wanted / np.maximum(now[flat].sum(1), 1e-12)
+        old, x = x, x * wanted / np.maximum(summed(now), 1e-12)
+        if k % 8 == 7 and np.abs(x - old).sum() < 1e-4 * x.sum():
+            break
     return x
 
 
 @dataclass
 class Plan:
-    """Containers by pattern: each row is (repeat count, lengths in it)."""
+    """Containers by pattern: each row is (repeat count, lengths in it); the first ``fitted`` rows come from the fit."""
 
     capacity: int
     rows: list[tuple[int, tuple[int, ...]]] = field(default_factory=list)
+    fitted: int = 0
 
 
-def _fit(left: Counter, capacity: int, over_half: bool) -> list[tuple[int, tuple]]:
-    """Take from a histogram what patterns with fitted and rounded repeat counts hold.
-
-    ``over_half``: only patterns with a size over half the capacity, of which each needs a container anyway.
-    """
-    # Sizes under a LEAST_PART-th of the capacity are kept to fill the gaps of the residuals.
-    sizes = np.array(sorted(s for s, n in left.items() if n and s * LEAST_PART >= capacity), np.int64)
-    if len(sizes) < 2:
+def _fit(left: Counter, box: int, least: int) -> list[tuple[int, tuple]]:
+    """Take from a histogram what patterns with fitted and rounded repeat counts hold; their largest size is ``least``
+    or more."""
+    sizes = np.array(sorted(s for s, n in left.items() if n and s <= box), np.int64)
+    if not len(sizes) or sizes[-1] < least:
         return []
-    patterns = few_item_patterns(sizes, capacity)
-    if over_half:
-        patterns = patterns[2 * sizes[patterns.max(1)] > capacity]
+    counts = np.array([left[int(s)] for s in sizes], float)
+    patterns, x = pairs_that_fill(sizes, box, least), None
+    for _ in range(PRICINGS):
+        x = nonnegative_least_squares(patterns, counts, UPDATES // 4, x) if len(patterns) else np.empty(0)
+        held = np.bincount(np.where(patterns < 0, len(sizes), patterns).ravel(), np.repeat(x, 3), len(sizes) + 1)[:-1]
+        more = priced_triples(sizes, box, least, counts - held)
+        every = np.concatenate([patterns, more])
+        _, first = np.unique(every @ np.array([1 << 40, 1 << 20, 1]), return_index=True)
+        new = np.sort(first[first >= len(patterns)])
+        if len(new) <= len(patterns) // 100:
+            break
+        started = counts[every[new]].min(1) / 4
+        patterns, x = np.concatenate([patterns, every[new]]), np.concatenate([x, np.maximum(started, 1e-3)])
     if not len(patterns):
         return []
-    counts = np.array([left[int(s)] for s in sizes], float)
-    x = nonnegative_least_squares(patterns, counts)
+    x = nonnegative_least_squares(patterns, counts, x=x) if len(x) == len(patterns) else nonnegative_least_squares(patterns, counts)
     stock = counts.astype(np.int64)
     rows: list[tuple[int, tuple]] = []
     for p in np.argsort(-x, kind="stable"):
-        if x[p] < 0.5:
+        if x[p] < NEVER:
             break
         need = Counter(int(i) for i in patterns[p] if i >= 0)
-        repeat = min(int(x[p] + 0.5), *(int(stock[i]) // m for i, m in need.items()))
+        repeat = min(max(1, int(x[p] + 0.5)), *(int(stock[i]) // m for i, m in need.items()))
         if repeat > 0:
             for i, m in need.items():
                 stock[i] -= m * repeat
@@ -145,6 +189,39 @@ def _fit(left: Counter, capacity: int, over_half: bool) -> list[tuple[int, tuple
     return rows
 
 
+def _filled(left: Counter, box: int, smallest: int, large_first: bool = False) -> list[tuple[int, tuple]]:
+    """Exactly filled boxes, taken from a histogram: items over half of the box first, then boxes half as large in twos.
+
+    Boxes whose half is under ``smallest`` are not halved; all items are fitted to them, at once or the large ones first.
+    """
+    rows: list[tuple[int, tuple]] = []
+    last = box % 2 or box // 2 < smallest
+    for least in (1,) if last and not large_first else (box // 2 + 1, 1) if last else (box // 2 + 1,):
+        while True:
+            before = sum(left.values())
+            rows += _fit(left, box, least)
+            for s in [s for s, n in left.items() if not n]:
+                del left[s]
+            if before - sum(left.values()) <= before // 200:
+                break
+    return rows if last else rows + _in_twos(_filled(left, box // 2, smallest), left)
+
+
+def _in_twos(halves: list[tuple[int, tuple]], left: Counter) -> list[tuple[int, tuple]]:
+    """Two boxes to one, alike ones first; an odd one is given back."""
+    rows, odd = [], None
+    for repeat, sizes in halves:
+        if odd is not None:
+            rows.append((1, odd + sizes))
+            repeat, odd = repeat - 1, None
+        if repeat // 2:
+            rows.append((repeat // 2, sizes + sizes))
+        if repeat % 2:
+            odd = sizes
+    left.update(Counter(odd or ()))
+    return rows
+
+
 def _best_fit(histogram: Counter, capacity: int) -> list[tuple[int, tuple]]:
     """Pack a histogram largest first, each into the fullest open container it fits, whole runs at a time."""
     rooms: list[int] = []  # sorted room sizes that some open rows have
@@ -192,86 +269,110 @@ def _best_fit(histogram: Counter, capacity: int) -> list[tuple[int, tuple]]:
 def plan_packing(histogram: Counter, capacity: int) -> Plan:
     """Containers for a histogram {length: count} of lengths from 1 to the capacity, holding exactly its items.
 
-    The fit is repeated on what rounding left, as long as that takes a hundredth of it, and the rest is packed by best
-    fit.
+    The fit of a box is repeated on what rounding left, as long as that takes something, and what no pattern holds is
+    packed by best fit, together with a small part of the short items (LOOSE), which fill its gaps.
     """
     left = Counter({s: n for s, n in histogram.items() if n > 0})
-    plan = Plan(capacity)
-    least = sum(s * n for s, n in left.items()) / capacity
-    for over_half in (True, False):
-        if not over_half and sum(n for s, n in left.items() if 2 * s > capacity) > least / 50:
-            break  # many large items found no exact partners: the small ones are needed beside them
-        while left:
-            before = sum(left.values())
-            plan.rows += _fit(left, capacity, over_half)
-            left = +left
-            if before - sum(left.values()) <= before // 100:
-                break
-    plan.rows += _best_fit(left, capacity)
-    return plan
+    if not left:
+        return Plan(capacity)
+    smallest = max(2, int(2 * sum(s * n for s, n in left.items()) / sum(left.values())))
+    loose, owed = Counter(), 0.0
+    for s in sorted(left):  # an even share of the short items stays loose
+        if 4 * s <= capacity:
+            owed += left[s] * LOOSE
+            loose[s] = int(owed)
+            owed -= loose[s]
+    left -= loose
+    best = None
+    # Where a container holds few items and is not halved, both orders are tried.
+    for large_first in (False, True) if capacity // 2 < smallest or capacity % 2 else (False,):
+        rest = Counter(left)
+        plan = Plan(capacity, _filled(rest, capacity, smallest, large_first))
+        plan.fitted = len(plan.rows)
+        plan.rows += _best_fit(+rest + loose, capacity)
+        if best is None or sum(r for r, _ in plan.rows) < sum(r for r, _ in best.rows):
+            best = plan
+    return best
+
+
+def pack(pieces: DataFrame, plans: dict[str, Plan]) -> DataFrame:
+    """(container_kind, container_id, doc_id, part, first_token, n_tokens, by_pattern) for ``pieces`` (container_kind,
+    doc_id, part, first_token, n_tokens), by one plan a kind that holds exactly its pieces.
+
+    container_id counts from 1 within the kind; pieces without tokens need no room and are listed in container 0.
+    by_pattern tells whether the container is a fitted pattern's.
+    """
+    # Items are numbered within their length: position in the slice, plus what the earlier slices hold.
+    sliced = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "part"), F.lit(1024)).cast("int"))
+    counts = sliced.groupBy("container_kind", "n_tokens", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = "PARTITION BY container_kind, n_tokens ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    offsets = counts.select("container_kind", "n_tokens", "slice", F.expr(f"coalesce(sum(n) OVER ({before}), 0)").alias("base"))
+    # A merge join, as the offsets grow with the slices and the items are already placed by the same keys.
+    within = F.expr("row_number() OVER (PARTITION BY container_kind, n_tokens, slice ORDER BY doc_id, part)")
+    ranked = (
+        sliced.withColumn("k", within)
+        .join(offsets.hint("merge"), ["container_kind", "n_tokens", "slice"])
+        .withColumn("k", F.col("k") - 1 + F.col("base"))
+    )
+    return ranked.select("container_kind", "doc_id", "part", "first_token", "n_tokens", "k").mapInArrow(_placing(plans), PACKED)
 
 
-def pack(lengths: DataFrame, kind: str, capacity: int) -> DataFrame:
-    """(container_kind, container_id, doc_id, part, first_token, n_tokens) for ``lengths`` (doc_id, n_tokens).
+PACKED = (
+    "container_kind string, container_id bigint, doc_id bigint, part int, first_token bigint, n_tokens bigint, by_pattern boolean"
+)
 
-    A document longer than the capacity is split into full containers of its own and a rest, which is packed like a
-    document; no other is split. Documents without tokens need no room: they are listed in container 0 of the kind with
-    0 tokens. container_id counts from 1. doc_id is unique and not NULL.
-    """
-    pieces = Written(_pieces(lengths, capacity), "pieces").read()
-    # Items are numbered within their length: position in the partition, plus what the earlier partitions hold.
-    numbered = pieces.filter((F.col("n_tokens") > 0) & (F.col("n_tokens") < capacity))
-    sized = numbered.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(1024)).cast("int"))
-    counts = sized.groupBy("n_tokens", "slice").agg(F.count(F.lit(1)).alias("n"))
-    histogram = Counter(
-        {r[0]: r[1] for r in numbered.groupBy("n_tokens").agg(F.count(F.lit(1))).toLocalIterator()}
-    )  # at most one row for each length up to the capacity
-    plan = plan_packing(histogram, capacity)
-    before = "PARTITION BY n_tokens ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    offsets = counts.select("n_tokens", "slice", F.expr(f"coalesce(sum(n) OVER ({before}), 0)").alias("base"))
-    # A merge join, as the offsets grow with the slices and the items are already placed by both keys.
-    within = F.expr("row_number() OVER (PARTITION BY n_tokens, slice ORDER BY doc_id, part)")
-    ranked = sized.withColumn("k", within).join(offsets.hint("merge"), ["n_tokens", "slice"]).withColumn("k", F.col("k") - 1 + F.col("base"))
-    placed = ranked.select("doc_id", "part", "first_token", "n_tokens", "k").mapInArrow(
-        _placing(plan),
-        "container_id bigint, doc_id bigint, part int, first_token bigint, n_tokens bigint",
-    )
-    used = sum(r for r, _ in plan.rows)
-    full = pieces.filter(F.col("n_tokens") == capacity)
-    # Full pieces have a container each; their numbers follow the plan's, by slice and position like the others.
-    sliced = full.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(1024)).cast("int"))
-    by_slice = sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    starts = by_slice.select(
-        "slice", F.expr("coalesce(sum(n) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("base")
-    )  # at most 1024 rows
-    own = (
-        sliced.withColumn("k", F.expr("row_number() OVER (PARTITION BY slice ORDER BY doc_id, part)"))
-        .join(starts, "slice")
-        .select((F.col("k") + F.col("base") + F.lit(used)).cast("bigint").alias("container_id"), "doc_id", "part", "first_token", "n_tokens")
-    )
-    empty = pieces.filter(F.col("n_tokens") == 0).select(
-        F.lit(0).cast("bigint").alias("container_id"), "doc_id", "part", "first_token", "n_tokens"
-    )
-    every = placed.unionByName(own).unionByName(empty)
-    return every.select(F.lit(kind).alias("container_kind"), *every.columns)
 
+def pieces_of(lengths: DataFrame, capacities: dict[str, int]) -> DataFrame:
+    """Documents as pieces (container_kind, doc_id, part, first_token, n_tokens) of at most each kind's capacity.
 
-def _pieces(lengths: DataFrame, capacity: int) -> DataFrame:
-    """Documents as pieces (doc_id, part, first_token, n_tokens) of at most the capacity."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.lit(capacity))).cast("int")
-    start = (F.col("part") * F.lit(capacity)).cast("bigint")
+    A document longer than the capacity is split into full pieces and a rest; no other is split.
+    """
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(c).cast("long").alias("c")) for k, c in sorted(capacities.items())))
+    each = lengths.withColumn("kind", F.explode(kinds)).select("doc_id", "n_tokens", F.col("kind.kind").alias("container_kind"), "kind.c")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("c"))).cast("int")
+    start = F.col("part").cast("long") * F.col("c")
     return (
-        lengths.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("doc_id", "part", start.alias("first_token"), F.least(F.lit(capacity), F.col("n_tokens") - start).cast("bigint").alias("n_tokens"))
+        each.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .select("container_kind", "doc_id", "part", start.alias("first_token"), F.least("c", F.col("n_tokens") - start).alias("n_tokens"))
     )
 
 
-def _placing(plan: Plan):
-    """From (length, number within the length) to the container, by a table of runs sorted by both."""
-    length, start, first, step, position = [], [], [], [], []
+def _placing(plans: dict[str, Plan]):
+    """From (kind, length, number within the length) to the container, by tables of runs sorted by length and number."""
+    tables = {kind: _runs(plan) for kind, plan in plans.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch["n_tokens"].to_numpy(zero_copy_only=False)
+            k = batch["k"].to_numpy(zero_copy_only=False)
+            box, fitted = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+            coded = batch["container_kind"].dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            for code, kind in enumerate(coded.dictionary.to_pylist()):
+                mine = np.flatnonzero((codes == code) & (n > 0))
+                keys, start, first, step, border = tables[kind]
+                at = np.searchsorted(keys, n[mine] * _WIDE + k[mine], side="right") - 1
+                box[mine] = first[at] + (k[mine] - start[at]) // step[at]
+                fitted[mine] = box[mine] < border
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["container_kind"], pa.array(box, pa.int64()),
+                    *(batch[c] for c in ("doc_id", "part", "first_token", "n_tokens")), pa.array(fitted),
+                ],
+                names=["container_kind", "container_id", "doc_id", "part", "first_token", "n_tokens", "by_pattern"],
+            )
+
+    return run
+
+
+_WIDE = 1 << 42
+
+
+def _runs(plan: Plan) -> tuple:
+    length, start, first, step = [], [], [], []
     seen: Counter = Counter()
-    container = 1
-    for repeat, sizes in plan.rows:
+    container, border = 1, 1
+    for row, (repeat, sizes) in enumerate(plan.rows):
         for size, m in Counter(sizes).items():
             length.append(size)
             start.append(seen[size])
@@ -279,53 +380,70 @@ def _placing(plan: Plan):
             step.append(m)  # m of them go into each of the run's containers
             seen[size] += repeat * m
         container += repeat
+        if row < plan.fitted:
+            border = container
     order = np.lexsort((start, length)) if length else np.empty(0, int)
     length, start, first, step = (np.array(x, np.int64)[order] for x in (length, start, first, step))
-    wide = (1 << 42)
-    keys = length * wide + start
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch["n_tokens"].to_numpy(zero_copy_only=False)
-            k = batch["k"].to_numpy(zero_copy_only=False)
-            at = np.searchsorted(keys, n * wide + k, side="right") - 1
-            box = first[at] + (k - start[at]) // step[at] if len(n) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(box, pa.int64()), *(batch[c] for c in ("doc_id", "part", "first_token", "n_tokens"))],
-                names=["container_id", "doc_id", "part", "first_token", "n_tokens"],
-            )
-
-    return run
+    return length * _WIDE + start, start, first, step, border
 
 
 def packings(documents: DataFrame, containers: DataFrame, path: str | None = None) -> DataFrame:
-    """One packing for each kind of ``containers`` (container_kind, capacity_tokens), of all documents.
+    """One packing for each kind of ``containers`` (container_kind, capacity_tokens), of all documents (see ``pack``).
 
-    The documents are measured once. Kinds with a NULL capacity or one under 1 are left out; a kind stated twice is
-    packed for its greatest capacity. ``containers`` is a short list of kinds and read by the driver.
+    doc_id is unique and not NULL. The documents are measured once, and all kinds are planned from one histogram and
+    numbered in one pass. Kinds with a NULL capacity or one under 1 are left out; a kind stated twice is packed for its
+    greatest capacity. ``containers`` is a short list of kinds and read by the driver.
     """
-    lengths = Written(token_lengths(documents, path), "lengths").read()
     kinds = (
-        containers.filter(F.col("capacity_tokens") >= 1).groupBy("container_kind")
-        .agg(F.max("capacity_tokens").alias("c")).orderBy("container_kind").collect()
+        containers.filter((F.col("capacity_tokens") >= 1) & F.col("container_kind").isNotNull()).groupBy("container_kind")
+        .agg(F.max("capacity_tokens").alias("c")).collect()
     )
-    out = None
-    for kind, capacity in kinds:
-        part = pack(lengths, kind, int(capacity))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return documents.sparkSession.createDataFrame(
-            [], "container_kind string, container_id bigint, doc_id bigint, part int, first_token bigint, n_tokens bigint"
-        )
-    return out
+    if not kinds:
+        return documents.sparkSession.createDataFrame([], PACKED)
+    capacities = {kind: int(c) for kind, c in kinds}
+    lengths = Written(token_lengths(documents, path), "lengths").read()
+    pieces = pieces_of(lengths, capacities)
+    plans = plans_of(pieces.groupBy("container_kind", "n_tokens").agg(F.count(F.lit(1)).alias("n")), capacities)
+    return pack(pieces, plans)
+
+
+def plans_of(histograms: DataFrame, capacities: dict[str, int]) -> dict[str, Plan]:
+    """A plan a kind for ``histograms`` (container_kind, n_tokens, n), each made in a task of its own.
+
+    A kind has at most one row for each length up to its capacity, and its plan no more than some for each.
+    """
+
+    def plan(table: pa.Table) -> pa.Table:
+        kind = table["container_kind"][0].as_py()
+        sizes = zip(table["n_tokens"].to_pylist(), table["n"].to_pylist(), strict=True)
+        made = plan_packing(Counter({s: n for s, n in sizes if s}), capacities[kind])
+        return pa.table({
+            "kind": pa.array([kind] * len(made.rows), pa.string()), "row": pa.array(range(len(made.rows)), pa.int32()),
+            "fitted": pa.array([made.fitted] * len(made.rows), pa.int32()), "repeat": pa.array([r for r, _ in made.rows], pa.int64()),
+            "sizes": pa.array([list(s) for _, s in made.rows], pa.list_(pa.int32())),
+        })
+
+    rows = histograms.groupBy("container_kind").applyInArrow(
+        plan, "kind string, row int, fitted int, repeat bigint, sizes array<int>"
+    )
+    plans = {k: Plan(c) for k, c in capacities.items()}
+    for kind, _, fitted, repeat, sizes in sorted(rows.toLocalIterator(), key=lambda r: (r[0], r[1])):
+        plans[kind].fitted = fitted
+        plans[kind].rows.append((repeat, tuple(sizes)))
+    return plans
 
 
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
-    """Per kind: (container_kind, capacity_tokens, n_containers, n_tokens, fill), fill the share of room used."""
-    boxes = packed.filter(F.col("container_id") > 0).groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n"))
-    kinds = boxes.groupBy("container_kind").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens"))
+    """Per kind: (container_kind, capacity_tokens, n_containers, n_tokens, fill, pattern_share), fill the share of room
+    used and pattern_share the share of the pieces that stand in a fitted pattern."""
+    boxes = packed.filter(F.col("container_id") > 0).groupBy("container_kind", "container_id").agg(
+        F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max("by_pattern").alias("fitted"))
+    kinds = boxes.groupBy("container_kind").agg(
+        F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens"),
+        (F.sum(F.when(F.col("fitted"), F.col("pieces")).otherwise(0)) / F.sum("pieces")).alias("pattern_share"),
+    )
     sizes = containers.groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity_tokens"))
     return kinds.join(sizes, "container_kind").select(
         "container_kind", "capacity_tokens", "n_containers", "n_tokens",
-        (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"),
+        (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"), "pattern_share",
     )
