@@ -5,323 +5,559 @@ features and one confusion matrix an annotator; the classifier's output is the p
 one annotator on one item share a weight of 1. Annotators that agree with each other more than their matrices
 explain are found on the way; where several of such a group judged an item, they share one vote.
 
-The items lie packed, one row each, in a table of the shared folder. A round is one pass over it, which adds up
-sufficient statistics (one row for each parameter and partition, summed by Spark), and a step on the driver, which
-holds only the parameters: annotators x classes x classes and classes x features.
+Every label is a class and every annotator has a matrix of its own. All state is sparse: a matrix has a cell for each
+(annotator, truth, label) that some item supports, an item's candidates are the truths that its votes have cells for,
+and features are 64-bit hashes of their values. A round is one pass over the items, packed one row each in a table of
+the shared folder, and a sum by cell. Up to LOCAL_CELLS cells, the sums go to the driver and the state to every task;
+beyond that both stay tables: the items are split in shards, and each shard is joined with the cells of its own
+annotators, labels and features (``sharded``). Both ways give the same numbers.
+
+The rounds begin from a fit to a bounded sample of items (WARM, on the driver) and end on all items.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from speechlytics.llm.components import connected_components
 from speechlytics.session import Written
 
-#: Annotators with a confusion matrix of their own; those with the fewest items beyond that share one.
-MAX_ANNOTATORS = 20_000
-#: Labels with a class of their own; larger ones share the last class, and its items take their median label.
-MAX_CLASSES = 48
-#: Hash buckets for each categorical feature.
-BUCKETS = 32
-ROUNDS = 40
-#: Excess agreement, as a share of what is possible, from which annotators count as dependent, and its least basis.
-DEPENDENT, LEAST_TOGETHER = 0.5, 30
-
-
-@dataclass
-class Parameters:
-    values: list[int]
-    annotators: list
-    features: int
-    confusion: np.ndarray | None = None
-    weights: np.ndarray | None = None
-    group: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    shared: int = 0
-    round: int = 0
-
-
-def packed_labels(labels: DataFrame, categories: list[str], numbers: list[str]) -> DataFrame:
-    """(item, annotator, repeat, label, features...) to one row for each item and annotator and label, weighted.
+#: (annotator, label) pairs times labels up to which the state may be held by the driver and by every task.
+LOCAL_CELLS = 400_000
+#: Items of the sample that the fit begins with, and the most votes of an item in it.
+WARM, WARM_VOTES = 20_000, 64
+#: Items of a shard where the state is kept in tables.
+SHARD = 100_000
+#: Rounds on the sample before and after dependent annotators are known, and at most on all items.
+FIRST_ROUNDS, NEXT_ROUNDS, ROUNDS = 6, 24, 10
+#: Share of the votes' mass that may still move between cells when the rounds end.
+STILL = 2e-3
+#: Excess agreement, as a share of what is possible, from which annotators count as dependent, its least basis, and how
+#: many standard deviations it must be (perfect annotators agree too).
+DEPENDENT, LEAST_TOGETHER, SIGMAS = 0.5, 30, 4.0
+#: Posteriors under this give no cells.
+FAINT = 1e-6
+
+CELL, POOL, WEIGHT, GROUP, CURVE, MASS = range(6)
+_STATE = "kind int, a bigint, b bigint, c bigint, v double, w double"
+_COLUMNS = ["kind", "a", "b", "c", "v", "w"]
+
+
+def packed_items(labels: DataFrame, categories: list[str], numbers: list[str]) -> DataFrame:
+    """One row an item: (item, j, l, n, f, x), the votes (annotator, label, number of repeats) and the features.
 
     Rows that repeat (item, annotator, repeat, label) count once. NULL items and labels are left out; a NULL
-    annotator is an annotator of its own.
+    annotator is an annotator of its own, a NULL category a value of its own, a NULL number 0.
     """
     clean = labels.filter(F.col("item").isNotNull() & F.col("label").isNotNull())
-    once = clean.groupBy("item", "annotator", "repeat", "label").agg(
-        F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in categories), *(F.avg(c).alias(c) for c in numbers)
-    )
-    votes = once.groupBy("item", "annotator", "label").agg(
-        F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in categories), *(F.avg(c).alias(c) for c in numbers)
-    )
-    return votes
-
-
-def _pack(votes: DataFrame, judge: Column, categories: list[str], numbers: list[str]) -> DataFrame:
-    # The votes of an item are at most annotators x labels, both counted; an item's rows were reduced to them before.
-    vote = F.struct(judge.alias("j"), F.col("label").alias("l"), F.col("n").cast("double").alias("n"))
-    one_hot = [
-        F.pmod(F.xxhash64(F.min(c)), F.lit(BUCKETS)).cast("int") + F.lit(1 + len(numbers) + BUCKETS * k)
-        for k, c in enumerate(categories)
-    ]
+    carried = [*(F.min(c).alias(c) for c in categories), *(F.avg(c).alias(c) for c in numbers)]
+    once = clean.groupBy("item", "annotator", "repeat", "label").agg(*carried, F.lit(1).alias("one"))
+    votes = once.groupBy("item", "annotator", "label").agg(F.count("one").cast("double").alias("n"), *carried)
+    vote = F.struct(annotator_id("annotator").alias("j"), F.col("label").cast("long").alias("l"), "n")
+    names = [F.xxhash64(F.lit(c), F.coalesce(F.min(c).cast("string"), F.lit("\0"))) for c in categories]
+    sizes = [F.coalesce(F.avg(c).cast("double"), F.lit(0.0)) for c in numbers]
     return votes.groupBy("item").agg(
         F.sort_array(F.collect_list(vote)).alias("v"),
-        F.array(*one_hot).cast("array<int>").alias("hot"),
-        F.array(*(F.coalesce(F.avg(c).cast("double"), F.lit(0.0)) for c in numbers)).cast("array<double>").alias("num"),
-    ).select("item", F.col("v.j").alias("j"), F.col("v.l").alias("l"), F.col("v.n").alias("n"), "hot", "num")
+        F.array(F.lit(0).cast("long"), *names, *(F.xxhash64(F.lit(c)) for c in numbers)).alias("f"),
+        F.array(F.lit(1.0), *(F.lit(1.0) for _ in categories), *sizes).alias("x"),
+    ).select("item", F.col("v.j").alias("j"), F.col("v.l").alias("l"), F.col("v.n").alias("n"), "f", "x")
+
+
+def annotator_id(name: str | Column) -> Column:
+    name = F.col(name) if isinstance(name, str) else name
+    return F.xxhash64(F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit("")))
+
 
+def _numbered(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The place of each value in a sorted list; len(known) for those that are not in it."""
+    if not len(known):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, len(known))
 
-class _Batch:
-    """A record batch of packed items as flat arrays, and the posteriors of its items."""
 
-    def __init__(self, batch: pa.RecordBatch, p: Parameters):
-        self.p = p
-        lists = batch.column(1)
-        sizes = np.diff(lists.offsets.to_numpy())
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0.0)
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    one, back = np.unique(keys, return_inverse=True)
+    return one, np.bincount(back, values, len(one))
+
+
+class Model:
+    """The fitted state as sorted keys with values; absent cells are smoothed by the pooled matrix."""
+
+    def __init__(self, state: pd.DataFrame, classes: int, smooth: float):
+        part = {k: state[state["kind"] == k] for k in (CELL, POOL, WEIGHT, GROUP)}
+        cell, pool, weight, group = (
+            tuple(part[k][c].to_numpy() for c in _COLUMNS[1:]) for k in (CELL, POOL, WEIGHT, GROUP)
+        )
+        self.smooth, self.classes, self.started = smooth, classes, len(cell[0]) > 0
+        self.labels = np.unique(np.concatenate([cell[1], cell[2], pool[0], pool[1]]).astype(np.int64))
+        self.judges = np.unique(cell[0].astype(np.int64))
+        k = self.k = max(1, len(self.labels))
+        label = lambda x: np.searchsorted(self.labels, x)
+        judge = np.searchsorted(self.judges, cell[0])
+        truth, said = label(cell[1]), label(cell[2])
+        self.cells, self.counts = _sums((judge * k + said) * k + truth, cell[3])
+        self.rows, self.row_counts = _sums(judge * k + truth, cell[3])
+        self.pool, self.pool_counts = _sums(label(pool[1]) * k + label(pool[0]), pool[3])
+        self.total = np.zeros(k)
+        np.maximum.at(self.total, label(pool[1]), pool[4])
+        np.maximum.at(self.total, truth, cell[4])
+        self.features = np.unique(weight[0].astype(np.int64))
+        self.weights, self.weight_values = _sums(np.searchsorted(self.features, weight[0]) * k + label(weight[1]), weight[3])
+        order = np.argsort(group[0])
+        self.grouped, self.roots = group[0][order].astype(np.int64), group[1][order].astype(np.int64)
+
+    def log_chance(self, judge: np.ndarray, truth: np.ndarray, said: np.ndarray) -> np.ndarray:
+        """The logarithm of the chance that an annotator gives a label to an item of a truth (all as places)."""
+        k = self.k
+        # Rare labels are taken to be right unless shown otherwise.
+        common = _looked_up(self.pool, self.pool_counts, truth * k + said) + 0.5 / self.classes + 2.0 * (truth == said)
+        common = common / (self.total[truth] + 2.5)
+        seen = _looked_up(self.cells, self.counts, (judge * k + said) * k + truth)
+        return np.log((seen + self.smooth * common) / (_looked_up(self.rows, self.row_counts, judge * k + truth) + self.smooth))
+
+
+def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers first[k], ..., first[k] + many[k] - 1 of all k, one after the other."""
+    ends = np.cumsum(many)
+    return np.repeat(first - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Expectation:
+    """Packed items as flat arrays, with each item's candidates and their posteriors."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table, model: Model):
+        self.model, k = model, model.k
+        if isinstance(batch, pa.Table):
+            batch = batch.combine_chunks()
+        flat = {c: _flattened(batch[c]) for c in ("j", "l", "n", "f", "x")}
         self.items = len(batch)
+        sizes = flat["j"][1]
         self.item = np.repeat(np.arange(self.items), sizes)
-        self.judge = lists.flatten().to_numpy(zero_copy_only=False)
-        raw = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-        self.label = np.minimum(np.searchsorted(p.values, raw), len(p.values) - 1)
-        share = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-        pair = self.item * (len(p.annotators) + 1) + self.judge
-        first = np.concatenate([[True], pair[1:] != pair[:-1]]) if len(pair) else np.empty(0, bool)
-        self.pair = np.cumsum(first) - 1  # votes are sorted by annotator within the item
+        self.judge_ids, self.local = np.unique(flat["j"][0], return_inverse=True)
+        self.judge = _numbered(model.judges, self.judge_ids)[self.local]
+        self.said = np.searchsorted(model.labels, flat["l"][0])
+        share = flat["n"][0]
+        pair = self.item * max(1, len(self.judge_ids)) + self.local
+        self.first = np.concatenate([[True], pair[1:] != pair[:-1]]) if len(pair) else np.empty(0, bool)
+        self.pair = np.cumsum(self.first) - 1  # votes are sorted by annotator within the item
         self.share = share / np.bincount(self.pair, share)[self.pair] if len(pair) else share
         self.weight = self.share
-        if p.shared and len(pair):
-            together = self.item * (p.shared + 1) + p.group[self.judge]
-            _, back = np.unique(together, return_inverse=True)
-            self.weight = self.share / np.bincount(back, first)[back]
-        x = np.zeros((self.items, p.features))
-        x[:, 0] = 1
-        for c, at in ((4, None), (5, 1)):
-            values, many = batch.column(c).flatten().to_numpy(zero_copy_only=False), None
-            many = len(values) // max(1, self.items)
-            if many and at is None:
-                np.put_along_axis(x, values.reshape(self.items, many).astype(int), 1.0, axis=1)
-            elif many:
-                x[:, at : at + many] = values.reshape(self.items, many)
-        self.x = x
-        self.posterior = self._expect()
-
-    def _expect(self) -> np.ndarray:
-        p, k = self.p, len(self.p.values)
-        score = np.zeros((self.items, k))
-        if p.confusion is None:  # the start: smoothed votes
-            np.add.at(score, (self.item, self.label), self.weight)
-            score += 0.01
-            self.prior = None
-            return score / score.sum(1, keepdims=True)
-        prior = self.x @ p.weights.T
-        prior -= prior.max(1, keepdims=True)
-        self.prior = np.exp(prior)
-        self.prior /= self.prior.sum(1, keepdims=True)
-        score = np.log(self.prior + 1e-12)
-        likelihood = np.log(p.confusion)
-        np.add.at(score, self.item, likelihood[self.judge, :, self.label] * self.weight[:, None])
-        score -= score.max(1, keepdims=True)
-        score = np.exp(score)
-        return score / score.sum(1, keepdims=True)
-
-
-def _statistics(p: Parameters):
-    """Partial sums of a partition: confusion counts, the classifier's gradient, and in round 0 its curvature."""
-    k, a, d = len(p.values), len(p.annotators), p.features
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(a * k * k + k * d + d * d + k + 1)
-        seen = False
-        for batch in batches:
-            if not len(batch):
-                continue
-            seen, b = True, _Batch(batch, p)
-            counts = np.zeros((a * k, k))
-            np.add.at(counts, b.judge * k + b.label, b.posterior[b.item] * b.weight[:, None])
-            gradient = (b.posterior - (b.prior if b.prior is not None else 1 / k)).T @ b.x
-            total += np.concatenate([
-                counts.reshape(a, k, k).transpose(0, 2, 1).ravel(), gradient.ravel(), (b.x.T @ b.x).ravel(),
-                b.posterior.sum(0), [b.items],
-            ])
-        at = np.flatnonzero(total) if seen else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "value"])
-
-    return run
-
-
-def _agreement(p: Parameters):
-    """For each pair of annotators with items in common: how often they agree, and should by their matrices."""
-    expected = np.einsum("atl,btl->abt", p.confusion, p.confusion) if len(p.annotators) <= 400 else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            b = _Batch(batch, p)
-            # Votes are sorted by item: pair each with those at a distance of 1, 2, ... while still of the same item.
-            seen, agreed = [], []
-            for step in range(1, len(b.item)):
-                left = np.arange(len(b.item) - step)
-                left = left[b.item[left] == b.item[left + step]]
-                if not len(left):
-                    break
-                right = left + step
-                left, right = (m := b.judge[left] != b.judge[right], left[m], right[m])[1:]
-                mass = b.share[left] * b.share[right]
-                pi = b.posterior[b.item[left]]
-                i, j = b.judge[left], b.judge[right]
-                chance = (
-                    (pi * expected[i, j]).sum(1)
-                    if expected is not None
-                    else np.einsum("nt,ntl,ntl->n", pi, p.confusion[i], p.confusion[j])
-                )
-                seen.append((i * len(p.annotators) + j, mass))
-                agreed.append((mass * (b.label[left] == b.label[right]), mass * chance))
-            if seen:
-                code = np.concatenate([c for c, _ in seen])
-                one, back = np.unique(code, return_inverse=True)
-                sums = [
-                    np.bincount(back, np.concatenate(x))
-                    for x in ([m for _, m in seen], [x for x, _ in agreed], [x for _, x in agreed])
-                ]
-                out.extend(zip(one.tolist(), *(s.tolist() for s in sums), strict=True))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])],
-            names=["pair", "n", "agreed", "chance"],
-        )
+        if len(model.grouped) and len(pair):
+            at = np.minimum(np.searchsorted(model.grouped, self.judge_ids), len(model.grouped) - 1)
+            root = np.where(model.grouped[at] == self.judge_ids, model.roots[at], self.judge_ids)
+            _, root = np.unique(root, return_inverse=True)
+            _, back = np.unique(self.item * (root.max() + 1) + root[self.local], return_inverse=True)
+            self.weight = self.share / np.bincount(back, self.first)[back]
+        wide = len(flat["f"][0]) // max(1, self.items)
+        self.f = flat["f"][0].reshape(self.items, wide)
+        self.x = flat["x"][0].reshape(self.items, wide)
+        self.grid = None
+        self._candidates(k)
+        self._posterior(k)
+
+    def _candidates(self, k: int) -> None:
+        m = self.model
+        keys = [self.item * k + self.said]
+        if m.started and len(self.item):
+            vote, back = np.unique(self.judge * k + self.said, return_inverse=True)
+            low, high = np.searchsorted(m.cells, vote * k), np.searchsorted(m.cells, (vote + 1) * k)
+            many = (high - low)[back]
+            keys.append(np.repeat(self.item * k, many) + m.cells[_spread(low[back], many)] % k)
+        found = np.unique(np.concatenate(keys))
+        self.of, self.truth = found // k, found % k
+        self.starts = np.searchsorted(self.of, np.arange(self.items))
+        many = np.bincount(self.of, minlength=self.items)[self.item]
+        self.vote = np.repeat(np.arange(len(self.item)), many)
+        self.at = _spread(self.starts[self.item], many)
+
+    def _softmax(self, score: np.ndarray) -> np.ndarray:
+        if not len(score):
+            return score
+        score = np.exp(score - np.maximum.reduceat(score, self.starts)[self.of])
+        return score / np.add.reduceat(score, self.starts)[self.of]
+
+    def _posterior(self, k: int) -> None:
+        m = self.model
+        if not m.started:  # the start: smoothed votes
+            score = 0.01 + np.bincount(self.at, (self.truth[self.at] == self.said[self.vote]) * self.weight[self.vote], len(self.of))
+            self.prior = np.zeros(len(score))
+            self.posterior = score / np.add.reduceat(score, self.starts)[self.of] if len(score) else score
+            return
+        places = _numbered(m.features, self.f.ravel()).reshape(self.f.shape)[self.of]
+        logit = (_looked_up(m.weights, m.weight_values, (places * k + self.truth[:, None]).ravel()).reshape(places.shape) * self.x[self.of]).sum(1)
+        self.prior = self._softmax(logit)
+        chance = self._chance(self.judge[self.vote], self.truth[self.at], self.said[self.vote])
+        score = np.log(self.prior + 1e-12) + np.bincount(self.at, chance * self.weight[self.vote], len(self.of))
+        self.posterior = self._softmax(score)
+
+    def _chance(self, judge: np.ndarray, truth: np.ndarray, said: np.ndarray) -> np.ndarray:
+        """``Model.log_chance``, each one computed once where they repeat."""
+        m, k = self.model, self.model.k
+        a = len(m.judges) + 1
+        if a * k * k > len(judge):
+            return m.log_chance(judge, truth, said)
+        if self.grid is None:
+            at = np.arange(a * k * k)
+            self.grid = m.log_chance(at // (k * k), at // k % k, at % k)
+        return self.grid[(judge * k + truth) * k + said]
+
+    def statistics(self) -> pa.RecordBatch:
+        """Sums as rows of the state: cells, the classifier's gradient and curvature, the mass of each truth."""
+        m, k = self.model, self.model.k
+        keep = self.posterior[self.at] >= FAINT
+        vote, at = self.vote[keep], self.at[keep]
+        cell, n = _sums((self.local[vote] * k + self.truth[at]) * k + self.said[vote], self.posterior[at] * self.weight[vote])
+        ids, local = np.unique(self.f.ravel(), return_inverse=True)
+        local = local.reshape(self.f.shape)
+        # The intercept starts at the labels' mass, so the classifier moves from the second round on.
+        moved = (self.posterior - self.prior) if m.started else np.zeros(len(self.of))
+        step, g = _sums((local[self.of] * k + self.truth[:, None]).ravel(), (moved[:, None] * self.x[self.of]).ravel())
+        # A bound of the curvature by rows: features weigh with the item's sum of features.
+        size = np.abs(self.x)
+        curve = np.bincount(local.ravel(), (size * size.sum(1, keepdims=True)).ravel(), len(ids))
+        truth, mass = _sums(self.truth, self.posterior)
+        rows = [
+            (CELL, self.judge_ids[cell // (k * k)], m.labels[cell // k % k], m.labels[cell % k], n),
+            (WEIGHT, ids[step // k], m.labels[step % k], None, g),
+            (CURVE, ids, None, None, curve),
+            (MASS, None, m.labels[truth], None, mass),
+        ]
+        filled = lambda x, n: np.zeros(n, np.int64) if x is None else x
+        arrays = [
+            np.concatenate([np.full(len(r[4]), r[0], np.int32) for r in rows]),
+            *(np.concatenate([filled(r[c], len(r[4])) for r in rows]) for c in (1, 2, 3)),
+            np.concatenate([r[4] for r in rows]),
+        ]
+        arrays.append(np.zeros(len(arrays[0])))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=_COLUMNS)
+
+    def agreement(self) -> pa.RecordBatch:
+        """For each pair of annotators with items in common: how often they agree, and should by their matrices."""
+        m, k, many = self.model, self.model.k, max(1, len(self.judge_ids))
+        sums: dict[str, list] = {c: [] for c in ("key", "n", "agreed", "chance")}
+        # Votes are sorted by item: pair each with those at a distance of 1, 2, ... while still of the same item.
+        for step in range(1, len(self.item)):
+            left = np.flatnonzero(self.item[:-step] == self.item[step:])
+            if not len(left):
+                break
+            left = left[self.local[left] != self.local[left + step]]
+            right = left + step
+            mass = self.share[left] * self.share[right]
+            # The chance that both say the same: over the item's truths, and over its candidates as labels.
+            wide = np.bincount(self.of, minlength=self.items)[self.item[left]]
+            of = np.repeat(np.arange(len(left)), wide)
+            at = _spread(self.starts[self.item[left]], wide)
+            deep = np.repeat(np.arange(len(of)), wide[of])
+            said = self.truth[_spread(self.starts[self.item[left[of]]], wide[of])]
+            truth = self.truth[at[deep]]
+            both = self._chance(self.judge[left[of[deep]]], truth, said) + self._chance(self.judge[right[of[deep]]], truth, said)
+            chance = np.bincount(of[deep], np.exp(both) * self.posterior[at[deep]], len(left))
+            same = self.said[left] == self.said[right]
+            sums["key"].append(self.local[left] * many + self.local[right])
+            sums["n"].append(mass)
+            sums["agreed"].append(mass * same)
+            sums["chance"].append(mass * chance)
+        joined = {c: np.concatenate(x) if x else np.empty(0, np.int64) for c, x in sums.items()}
+        key, n = _sums(joined["key"], joined["n"])
+        agreed, chance = (_sums(joined["key"], joined[c])[1] for c in ("agreed", "chance"))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (self.judge_ids[key // many], self.judge_ids[key % many], n, agreed, chance)],
+            names=["u", "v", "n", "agreed", "chance"],
+        ) if len(key) else _no_rows("u bigint, v bigint, n double, agreed double, chance double")
+
+    def results(self, items: pa.Array, chance: float) -> pa.RecordBatch:
+        """Rows of ``Consensus.items``."""
+        m, k = self.model, self.model.k
+        best = np.zeros(self.items, np.int64)
+        top = np.maximum.reduceat(self.posterior, self.starts) if self.items else np.empty(0)
+        hit = np.flatnonzero(self.posterior == top[self.of])
+        best[self.of[hit[::-1]]] = hit[::-1]  # the lowest of equals stays
+        votes, mass = _sums(self.item * k + self.said, self.share)
+        squares = np.bincount(votes // k, mass**2, self.items) - np.bincount(self.item, self.share**2, self.items)
+        n = np.bincount(self.item[self.first], minlength=self.items)
+        agreement = np.where(n > 1, np.minimum(1.0, squares / np.maximum(n * (n - 1.0), 1.0)), 1.0)
+        corrected = np.where(n > 1, (agreement - chance) / max(1e-9, 1 - chance), np.nan) if chance < 1 else np.where(n > 1, 1.0, np.nan)
+        return pa.RecordBatch.from_arrays(
+            [
+                items, pa.array(m.labels[self.truth[best]].astype(np.int32)), pa.array(self.posterior[best]),
+                pa.array(agreement), pa.array(corrected, from_pandas=True), pa.array(n.astype(np.int64)),
+            ],
+            names=["item", "label", "confidence", "agreement", "corrected", "n_annotators"],
+        )
+
+
+def _flattened(column) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def _no_rows(schema: str) -> pa.RecordBatch:
+    types = {"bigint": pa.int64(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([], types[t]) for _, t in fields], names=[n for n, _ in fields])
+
+
+def maximised(sums: pd.DataFrame, old: pd.DataFrame | None, ridge: float) -> pd.DataFrame:
+    """The next state from the sums of a round and the state before it (the groups stay)."""
+    kind = {k: sums[sums["kind"] == k] for k in (CELL, WEIGHT, CURVE, MASS)}
+    cells = kind[CELL][["a", "b", "c", "v"]]
+    total = cells.groupby("b")["v"].sum()
+    pool = cells.groupby(["b", "c"], as_index=False)["v"].sum()
+    old_weights = None if old is None else old[old["kind"] == WEIGHT]
+    if old_weights is None or not len(old_weights):
+        mass = kind[MASS]
+        weights = pd.DataFrame({"a": 0, "b": mass["b"], "v": np.log(mass["v"] / mass["v"].sum() + 1e-9)})
+    else:
+        weights = old_weights[["a", "b", "v"]].merge(
+            kind[WEIGHT][["a", "b", "v"]].rename(columns={"v": "g"}), how="outer", on=["a", "b"]
+        ).fillna(0.0).merge(kind[CURVE][["a", "v"]].rename(columns={"v": "h"}), on="a", how="left").fillna(0.0)
+        hold = np.where(weights["a"] == 0, 1e-6, ridge)  # the intercept is free
+        weights["v"] += (weights["g"] - hold * weights["v"]) / (0.5 * weights["h"] + hold)
+    parts = [
+        cells.assign(kind=CELL, w=cells["b"].map(total)),
+        pool.assign(kind=POOL, w=pool["b"].map(total)).rename(columns={"c": "a"}).assign(c=0),
+        weights.assign(kind=WEIGHT, c=0, w=0.0),
+        *([] if old is None else [old[old["kind"] == GROUP]]),
+    ]
+    whole = {"kind": np.int32, "a": np.int64, "b": np.int64, "c": np.int64}
+    return pd.concat([p[_COLUMNS].astype(whole) for p in parts if len(p)], ignore_index=True)
+
+
+def _next_table(sums: DataFrame, old: DataFrame, ridge: float) -> DataFrame:
+    """``maximised`` for a state kept in a table."""
+    cells = sums.filter(F.col("kind") == CELL).select("a", "b", "c", "v")
+    total = cells.groupBy("b").agg(F.sum("v").alias("w"))
+    pool = cells.groupBy("b", "c").agg(F.sum("v").alias("v")).join(total, "b")
+    before = old.filter(F.col("kind") == WEIGHT).select("a", "b", "v")
+    gradient = sums.filter(F.col("kind") == WEIGHT).select("a", "b", F.col("v").alias("g"))
+    curve = sums.filter(F.col("kind") == CURVE).select("a", F.col("v").alias("h"))
+    hold = F.when(F.col("a") == 0, 1e-6).otherwise(ridge)
+    v, g, h = (F.coalesce(c, F.lit(0.0)) for c in ("v", "g", "h"))
+    weights = before.join(gradient, ["a", "b"], "full").join(curve, "a", "left").select(
+        "a", "b", (v + (g - hold * v) / (0.5 * h + hold)).alias("v"))
+    if before.isEmpty():
+        mass = sums.filter(F.col("kind") == MASS).select("b", "v")
+        every = mass.agg(F.sum("v").alias("t"))
+        intercept = F.log(F.col("v") / F.col("t") + 1e-9)
+        weights = mass.join(F.broadcast(every)).select(F.lit(0).cast("long").alias("a"), "b", intercept.alias("v"))  # one row
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    return (
+        cells.join(total, "b").select(F.lit(CELL).alias("kind"), "a", "b", "c", "v", "w")
+        .unionByName(pool.select(F.lit(POOL).alias("kind"), F.col("c").alias("a"), "b", zero.alias("c"), "v", "w"))
+        .unionByName(weights.select(F.lit(WEIGHT).alias("kind"), "a", "b", zero.alias("c"), "v", none.alias("w")))
+        .unionByName(old.filter(F.col("kind") == GROUP).select(*_COLUMNS))
+    )
 
-    return run
 
+@dataclass
+class Fit:
+    """A state and the ways to run passes over all items with it."""
 
-def _dependent_groups(packed: DataFrame, p: Parameters) -> None:
-    """Set the groups of annotators that agree beyond what their matrices explain."""
-    pairs = packed.mapInArrow(_agreement(p), "pair bigint, n double, agreed double, chance double")
-    excess = (F.col("agreed") - F.col("chance")) / F.greatest(F.col("n") - F.col("chance"), F.lit(1e-9))
-    found = (
-        pairs.groupBy("pair").agg(*(F.sum(c).alias(c) for c in ("n", "agreed", "chance")))
-        .filter((F.col("n") >= LEAST_TOGETHER) & (excess >= DEPENDENT)).select("pair")
-    )
-    root = list(range(len(p.annotators)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for (pair,) in found.toLocalIterator():
-        i, j = top(pair // len(p.annotators)), top(pair % len(p.annotators))
-        root[max(i, j)] = min(i, j)
-    p.group = np.array([top(i) for i in range(len(root))])
-    p.shared = len(root) if (p.group != np.arange(len(root))).any() else 0
-
-
-def _maximise(p: Parameters, total: np.ndarray, ridge: float, smooth: float) -> float:
-    k, a, d = len(p.values), len(p.annotators), p.features
-    counts, gradient, curve, mass, _ = np.split(total, np.cumsum([a * k * k, k * d, d * d, k]))
-    counts, gradient, curve = counts.reshape(a, k, k), gradient.reshape(k, d), curve.reshape(d, d)
-    pooled = counts.sum(0) + 0.5 / k + 2 * np.eye(k)  # rare labels are taken to be right unless shown otherwise
-    pooled /= pooled.sum(1, keepdims=True)
-    confusion = counts + smooth * pooled
-    confusion /= confusion.sum(2, keepdims=True)
-    if p.weights is None:
-        p.weights = np.zeros((k, d))
-        p.weights[:, 0] = np.log(mass / mass.sum() + 1e-9)
-    else:
-        penalty = ridge * np.eye(d)
-        penalty[0, 0] = 1e-6  # the intercept is free
-        # The fixed curvature bound of the softmax likelihood makes every step go uphill.
-        step = np.linalg.solve(0.5 * curve + penalty, (gradient - p.weights @ penalty).T).T
-        p.weights = p.weights + step
-    moved = 1.0 if p.confusion is None else float(np.abs(confusion - p.confusion).max())
-    p.confusion = confusion
-    p.round += 1
-    return moved
-
-
-def _fit(packed: DataFrame, p: Parameters, ridge: float, smooth: float, rounds: int) -> None:
-    size = len(p.annotators) * len(p.values) ** 2 + len(p.values) * p.features + p.features**2 + len(p.values) + 1
-
-    def once() -> float:
-        total = np.zeros(size)
-        sums = packed.mapInArrow(_statistics(p), "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value"))
-        got = sums.toPandas()
-        total[got["at"].to_numpy()] = got["value"].to_numpy()
-        return _maximise(p, total, ridge, smooth)
-
-    for k in range(rounds):
-        if k == 8:
-            _dependent_groups(packed, p)
-        if once() < 2e-3 and k > 10:
+    packed: DataFrame
+    classes: int
+    smooth: float
+    ridge: float
+    sharded: bool
+    local: pd.DataFrame | None = None
+    table: DataFrame | None = None
+    presence: DataFrame | None = None
+    written: list = field(default_factory=list)
+
+    def over_items(self, make: Callable[[Expectation, pa.Array], pa.RecordBatch], schema: str) -> DataFrame:
+        """Rows that ``make`` gives for the items, their expectations taken under the present state."""
+        classes, smooth = self.classes, self.smooth
+        if not self.sharded:
+            model = self.packed.sparkSession.sparkContext.broadcast(Model(self.local, classes, smooth))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if len(batch):
+                        yield make(Expectation(batch, model.value), batch["item"])
+
+            return self.packed.mapInArrow(run, schema)
+
+        def of_shard(items: pa.Table, state: pa.Table) -> pa.Table:
+            model = Model(state.select(_COLUMNS).to_pandas(), classes, smooth)
+            items = items.combine_chunks()
+            names = items["item"].chunk(0) if items["item"].num_chunks == 1 else pa.concat_arrays(items["item"].chunks)
+            return pa.Table.from_batches([make(Expectation(items, model), names)])
+
+        need = self.table.join(self.presence, ["kind", "a"]).select("shard", *_COLUMNS)
+        return self.packed.groupBy("shard").cogroup(need.groupBy("shard")).applyInArrow(of_shard, schema)
+
+    def advance(self) -> float:
+        """One round over all items; the share of the mass that moved between cells."""
+        rows = self.over_items(lambda e, _: e.statistics(), _STATE)
+        sums = rows.groupBy("kind", "a", "b", "c").agg(F.sum("v").alias("v"))
+        if not self.sharded:
+            old, self.local = self.local, maximised(sums.toPandas(), self.local, self.ridge)
+            return _moved(old, self.local)
+        step = Written(_next_table(Written(sums, "sums").read(), self.table, self.ridge), "state")
+        both = [t.filter(F.col("kind") == CELL).select("a", "b", "c", (F.col("v") * s).alias("v")) for t, s in ((self.table, -1), (step.read(), 1))]
+        moved = both[0].unionByName(both[1]).groupBy("a", "b", "c").agg(F.sum("v").alias("v"))
+        moved = moved.agg(F.sum(F.abs("v")), F.sum("v")).first()[0]
+        mass = step.read().filter(F.col("kind") == CELL).agg(F.sum("v")).first()[0]
+        self._keep(step)
+        return float(moved or 0) / max(1e-9, mass or 0)
+
+    def _keep(self, step: Written) -> None:
+        # Labels that the sample did not have need their place too.
+        labels = self.presence.filter(F.col("kind") == POOL).select("a").distinct()
+        rows = labels.select(F.lit(POOL).alias("kind"), "a", F.col("a").alias("b"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
+        self.table = step.read().unionByName(rows)
+
+    def regroup(self) -> bool:
+        """Find the annotators that agree beyond what their matrices explain; whether that changed."""
+        rows = self.over_items(lambda e, _: e.agreement(), "u bigint, v bigint, n double, agreed double, chance double")
+        pairs = rows.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(
+            *(F.sum(c).alias(c) for c in ("n", "agreed", "chance")))
+        more, room = F.col("agreed") - F.col("chance"), F.greatest(F.col("n") - F.col("chance"), F.lit(1e-9))
+        noise = F.sqrt(F.col("chance") * room / F.col("n"))
+        found = pairs.filter((F.col("n") >= LEAST_TOGETHER) & (more >= DEPENDENT * room) & (more >= SIGMAS * noise))
+        found = found.select("u", "v")
+        if self.sharded:
+            found = Written(found, "dependent").read()
+            groups = connected_components(found).select(
+                F.lit(GROUP).alias("kind"), F.col("node").alias("a"), F.col("class_id").alias("b"),
+                F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
+            before = self.table.filter(F.col("kind") == GROUP).select("a", "b")
+            changed = not (before.exceptAll(groups.select("a", "b")).isEmpty() and groups.select("a", "b").exceptAll(before).isEmpty())
+            self._keep(Written(self.table.filter(F.col("kind") != GROUP).unionByName(groups), "state"))
+            return changed
+        root: dict[int, int] = {}
+
+        def top(i: int) -> int:
+            while root.setdefault(i, i) != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for u, v in found.toPandas().itertuples(index=False):  # no more pairs than LOCAL_CELLS allows
+            root[max(top(u), top(v))] = min(top(u), top(v))
+        rows = sorted((i, top(i)) for i in root)
+        old = self.local[self.local["kind"] == GROUP]
+        changed = rows != sorted(zip(old["a"], old["b"], strict=True))
+        groups = _state_rows(GROUP, *(np.array([r[c] for r in rows], np.int64) for c in (0, 1)))
+        self.local = pd.concat([self.local[self.local["kind"] != GROUP], groups], ignore_index=True)
+        return changed
+
+    def settle(self) -> None:
+        for _ in range(ROUNDS):
+            if self.advance() < STILL:
+                break
+
+    def state(self) -> DataFrame:
+        return self.table if self.sharded else self.packed.sparkSession.createDataFrame(self.local, _STATE)
+
+
+def _warm(sample: pa.Table, state: pd.DataFrame, classes: int, smooth: float, ridge: float, rounds: int) -> pd.DataFrame:
+    """Rounds over a sample on the driver, until its cells are still."""
+    for _ in range(rounds):
+        sums = Expectation(sample, Model(state, classes, smooth)).statistics().to_pandas()
+        old, state = state, maximised(sums, state, ridge)
+        if _moved(old, state) < STILL:
             break
+    return state
+
+
+def _moved(old: pd.DataFrame, new: pd.DataFrame) -> float:
+    a, b = (s[s["kind"] == CELL].set_index(["a", "b", "c"])["v"] for s in (old, new))
+    return float(a.sub(b, fill_value=0).abs().sum() / max(1e-9, b.sum()))
+
+
+def _state_rows(kind: int, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    n = len(a)
+    whole = lambda x: np.asarray(x, np.int64)
+    return pd.DataFrame({
+        "kind": np.full(n, kind, np.int32), "a": whole(a), "b": whole(b), "c": np.zeros(n, np.int64),
+        "v": np.zeros(n), "w": np.zeros(n),
+    })
+
+
+def _label_rows(labels: np.ndarray) -> pd.DataFrame:
+    return _state_rows(POOL, labels, labels)
 
 
 @dataclass
 class Consensus:
     """A fitted consensus: ``items()`` and ``annotators()`` are its results."""
 
-    packed: DataFrame
-    parameters: Parameters
+    fit: Fit
+    names: DataFrame
 
     def items(self) -> DataFrame:
-        """(item, label, confidence, agreement, n_annotators).
+        """(item, label, confidence, agreement, corrected, n_annotators).
 
         label is the class of the greatest posterior (the lower one of equals), confidence its probability;
         agreement the chance that two different annotators of the item, taken at random, give the same label, 1
-        where only one judged it.
+        where only one judged it; corrected the same beyond chance, (agreement - c) / (1 - c) with c the chance that two
+        labels of the whole table are equal, NULL where only one judged it.
         """
-        p = self.parameters
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                b = _Batch(batch, p)
-                best = b.posterior.argmax(1)
-                label = np.array(p.values)[best]
-                if len(p.values) == MAX_CLASSES:
-                    raw, last = batch.column(2).to_pylist(), len(p.values) - 1
-                    for i in np.flatnonzero(best == last):
-                        tail = sorted(x for x in raw[i] if x >= p.values[last])
-                        label[i] = tail[(len(tail) - 1) // 2] if tail else p.values[last]
-                votes = np.zeros((b.items, len(p.values)))
-                np.add.at(votes, (b.item, b.label), b.share)
-                own = np.bincount(b.item, b.share**2, b.items)
-                n = np.zeros(b.items)
-                np.add.at(n, b.item[np.concatenate([[True], b.pair[1:] != b.pair[:-1]])] if len(b.pair) else [], 1)
-                # n * (n - 1) ordered pairs; the squares of an annotator's own split vote are taken out
-                split = np.bincount(b.item, b.share, b.items)
-                same = (votes**2).sum(1) - own
-                agreement = np.where(n > 1, same / np.maximum(split * (split - 1), 1e-9), 1.0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), pa.array(label, pa.int32()), pa.array(b.posterior[np.arange(b.items), best]),
-                        pa.array(np.minimum(agreement, 1.0)), pa.array(n.astype(np.int64)),
-                    ],
-                    names=["item", "label", "confidence", "agreement", "n_annotators"],
-                )
-
-        schema = f"item {self.packed.schema['item'].dataType.simpleString()}, label int, confidence double, agreement double, n_annotators bigint"
-        return self.packed.mapInArrow(run, schema)
+        cells = self.fit.state().filter(F.col("kind") == CELL)
+        by_label = cells.groupBy("c").agg(F.sum("v").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+        chance = by_label[0] / by_label[1] ** 2
+        kind = self.fit.packed.schema["item"].dataType.simpleString()
+        schema = f"item {kind}, label int, confidence double, agreement double, corrected double, n_annotators bigint"
+        return self.fit.over_items(lambda e, items: e.results(items, chance), schema)
 
     def annotators(self) -> DataFrame:
-        """(annotator, reliability, bias, dependent_on): reliability is the chance of the right label on an item as
-        they occur, bias the mean excess of the given label, dependent_on the first annotator of the group."""
-        p = self.parameters
-        spark = self.packed.sparkSession
-        values = np.array(p.values, float)
-        share = np.exp(p.weights[:, 0] - p.weights[:, 0].max())
-        share /= share.sum()
-        rows = []
-        for i, name in enumerate(p.annotators):
-            c = p.confusion[i]
-            lead = p.annotators[p.group[i]] if p.shared and p.group[i] != i else None
-            rows.append((name, float(share @ np.diag(c)), float(share @ (c @ values - values)), lead))
-        return spark.createDataFrame(rows, "annotator string, reliability double, bias double, dependent_on string")
+        """(annotator, reliability, bias, n_votes, dependent_on): reliability is the chance of the right label on an item
+        as the truths occur (weighted by the posterior mass of each), bias the mean excess of the given label, n_votes the
+        votes' weight, dependent_on the least annotator of its group where that is another."""
+        smooth, classes = self.fit.smooth, self.fit.classes
+        state = self.fit.state()
+        cells = state.filter(F.col("kind") == CELL)
+        hit, far = F.col("b") == F.col("c"), (F.col("c") - F.col("b")) * F.col("v")
+        of = lambda *by: cells.groupBy(*by).agg(
+            F.sum("v").alias("n"), F.sum(F.when(hit, F.col("v")).otherwise(0.0)).alias("right"), F.sum(far).alias("far"))
+        spread = cells.select("c").distinct().agg(F.sum("c").alias("labels"))
+        share = F.col("n") / F.sum("n").over(_everything())
+        truth = (
+            of("b").join(F.broadcast(spread))  # one row
+            .select(
+                "b", share.alias("share"), ((F.col("right") + 0.5 / classes + 2) / (F.col("n") + 2.5)).alias("common"),
+                ((F.col("far") + 0.5 * (F.col("labels") / classes - F.col("b"))) / (F.col("n") + 2.5)).alias("lean"),
+            )
+        )
+        base = truth.agg(F.sum(F.col("share") * F.col("common")).alias("r"), F.sum(F.col("share") * F.col("lean")).alias("m"))
+        own = of("a", "b").join(truth, "b")
+        down = F.col("n") + smooth
+        gain = own.groupBy("a").agg(
+            F.sum(F.col("share") * ((F.col("right") + smooth * F.col("common")) / down - F.col("common"))).alias("r"),
+            F.sum(F.col("share") * ((F.col("far") + smooth * F.col("lean")) / down - F.col("lean"))).alias("m"),
+            F.sum("n").alias("n_votes"),
+        )
+        root = state.filter((F.col("kind") == GROUP) & (F.col("a") != F.col("b"))).select("a", "b")
+        lead = self.names.select(F.col("a").alias("b"), F.col("annotator").alias("dependent_on"))
+        return (
+            gain.join(F.broadcast(base.select(F.col("r").alias("r0"), F.col("m").alias("m0"))))  # one row
+            .join(self.names, "a").join(root, "a", "left").join(lead, "b", "left")
+            .select("annotator", (F.col("r") + F.col("r0")).alias("reliability"), (F.col("m") + F.col("m0")).alias("bias"), "n_votes", "dependent_on")
+        )
+
+
+def _everything():
+    from pyspark.sql import Window
+
+    return Window.partitionBy(F.lit(0))  # one row a label
 
 
 def fit_consensus(
@@ -330,30 +566,57 @@ def fit_consensus(
     numbers: list[str] | None = None,
     ridge: float = 5.0,
     smooth: float = 4.0,
-    rounds: int = ROUNDS,
+    local_cells: int = LOCAL_CELLS,
+    warm: int = WARM,
 ) -> Consensus | None:
     """Fit the consensus of ``labels`` (item, annotator, repeat, label integer, features...); None if there are none.
 
-    ``categories`` and ``numbers`` name feature columns of the item; categories are hashed one-hot, NULL features
-    count as a value of their own or 0. ``ridge`` is the classifier's L2 penalty, ``smooth`` the weight of the pooled
-    matrix in each annotator's.
+    ``categories`` and ``numbers`` name feature columns of the item. ``ridge`` is the classifier's L2 penalty, ``smooth``
+    the weight of the pooled matrix in each annotator's. ``warm`` bounds the sample of items that the rounds begin
+    with; the last rounds, and all results, use every item. Beyond ``local_cells`` the state stays in tables.
     """
     categories, numbers = categories or [], numbers or []
-    votes = Written(packed_labels(labels, categories, numbers), "votes").read()
-    sizes = votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("n"))
-    names = [r[0] for r in sizes.orderBy(F.desc("n"), F.col("annotator").asc_nulls_first()).limit(MAX_ANNOTATORS).collect()]
-    values = [r[0] for r in votes.select("label").distinct().orderBy("label").limit(MAX_CLASSES).collect()]
-    if not names:
+    packed = Written(packed_items(labels, categories, numbers), "packed").read()
+    voted = packed.select(F.explode(F.arrays_zip("j", "l")).alias("v")).select("v.j", "v.l").distinct()
+    voted = voted.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    classes, pairs = voted.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not classes:
         return None
-    spark = labels.sparkSession
-    known = spark.createDataFrame(list(enumerate(names)), "j int, annotator string")
-    pooled = len(names) == MAX_ANNOTATORS
-    # The number of annotators is bounded, so their numbers may be sent to every task.
-    numbered = votes.alias("v").join(
-        F.broadcast(known).alias("k"), F.col("v.annotator").eqNullSafe(F.col("k.annotator")), "left"
-    ).select("v.*", F.coalesce("k.j", F.lit(len(names))).alias("j"))
-    annotators = names + (["(all others)"] if pooled else [])
-    packed = Written(_pack(numbered, F.col("j"), categories, numbers), "packed").read()
-    p = Parameters(values, annotators, 1 + len(numbers) + BUCKETS * len(categories))
-    _fit(packed, p, ridge, smooth, rounds)
-    return Consensus(packed, p)
+    names = labels.filter(F.col("item").isNotNull() & F.col("label").isNotNull()).select(
+        annotator_id("annotator").alias("a"), F.col("annotator").cast("string").alias("annotator")).distinct()
+    sharded = pairs * classes > local_cells
+    items = packed.count()
+    lucky = F.pmod(F.xxhash64(F.lit("sample"), "item"), F.lit(1 << 30)) < F.lit(int(min(1.0, warm / items) * (1 << 30)) + 1)
+    sample = packed.filter(lucky & (F.size("j") <= WARM_VOTES)).limit(2 * warm).toArrow()
+    known = np.unique(_flattened(sample["l"])[0]) if sharded else voted.select("l").toPandas()["l"].to_numpy()
+    state = _label_rows(known)
+    fit = Fit(packed, classes, smooth, ridge, sharded)
+    if len(sample):
+        state = _warm(sample, state, classes, smooth, ridge, FIRST_ROUNDS)
+    fit.local = pd.concat([state, _label_rows(known)], ignore_index=True)
+    if sharded:
+        _to_tables(fit, items)
+        if not len(sample):
+            fit.advance()
+        fit.regroup()
+    else:
+        if not len(sample):
+            fit.advance()
+        fit.regroup()
+        if len(sample):
+            state = _warm(sample, fit.local, classes, smooth, ridge, NEXT_ROUNDS)
+            fit.local = pd.concat([state, _label_rows(known)], ignore_index=True)
+    fit.settle()
+    if fit.regroup():
+        fit.settle()
+    return Consensus(fit, names)
+
+
+def _to_tables(fit: Fit, items: int) -> None:
+    """Split the items in shards and move the state to a table."""
+    shards = F.lit(-(-items // SHARD))
+    fit.packed = Written(fit.packed.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "item"), shards)), "sharded").read()
+    listed = lambda kind, column: fit.packed.select("shard", F.lit(kind).alias("kind"), F.explode(column).alias("a"))
+    there = listed(CELL, "j").unionByName(listed(POOL, "l")).unionByName(listed(WEIGHT, "f")).unionByName(listed(GROUP, "j"))
+    fit.presence = Written(there.distinct(), "presence").read()
+    fit._keep(Written(fit.packed.sparkSession.createDataFrame(fit.local, _STATE), "state"))

@@ -43,11 +43,11 @@ def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = judged(spark, sf_dir)
     if fitted is None:
         return spark.createDataFrame(
-            [], "key string, error_count int, confidence double, agreement double, n_judges bigint"
+            [], "key string, error_count int, confidence double, agreement double, corrected double, n_judges bigint"
         )
     items = fitted.items()
     return items.select(
-        F.col("item").alias("key"), F.col("label").alias("error_count"), "confidence", "agreement",
+        F.col("item").alias("key"), F.col("label").alias("error_count"), "confidence", "agreement", "corrected",
         F.col("n_annotators").alias("n_judges"),
     )
 
@@ -57,7 +57,7 @@ def p1_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per judge, its reliability and bias, and on which judge it depends."""
     fitted = judged(spark, sf_dir)
     if fitted is None:
-        return spark.createDataFrame([], "judge string, reliability double, bias double, dependent_on string")
+        return spark.createDataFrame([], "judge string, reliability double, bias double, n_votes double, dependent_on string")
     return fitted.annotators().withColumnRenamed("annotator", "judge")
 
 

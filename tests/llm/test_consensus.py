@@ -64,3 +64,53 @@ def test_many_label_values(spark):
     data = [(f"k{v}", j, 0, v, "s") for v in range(80) for j in ("a", "b", "c")]
     got = {r["item"]: r.label for r in consensus.fit_consensus(spark.createDataFrame(data, SCHEMA)).items().collect()}
     assert len(got) == 80 and got["k79"] == 79 and got["k3"] == 3
+
+
+def many_labels(n=4000, k=60, seed=4):
+    """Labels 0 to 59 by one good, one fair and one noisy annotator, and 40 that judged a few items each."""
+    rng = np.random.default_rng(seed)
+    true = rng.integers(0, k, n)
+    rows = []
+    for name, right in (("good", 0.95), ("fair", 0.7), ("noise", 0.2), *((f"few{j}", 0.8) for j in range(40))):
+        for i in np.flatnonzero(rng.random(n) < (0.7 if not name.startswith("few") else 0.02)):
+            rows.append((f"k{i}", name, 0, int(true[i]) if rng.random() < right else int(rng.integers(k)), "s"))
+    return true, rows
+
+
+def test_sixty_labels_and_every_annotator(spark):
+    true, rows_ = many_labels()
+    fitted = consensus.fit_consensus(spark.createDataFrame(rows_, SCHEMA))
+    got = {r["item"]: r.label for r in fitted.items().collect()}
+    assert set(got.values()) == set(range(60))
+    assert np.mean([true[int(i[1:])] == x for i, x in got.items() if i in {r[0] for r in rows_ if r[1] == "good"}]) > 0.93
+    judges = {r.annotator: r.reliability for r in fitted.annotators().collect()}
+    assert len(judges) == 43 and abs(judges["good"] - 0.95) < 0.08 and abs(judges["fair"] - 0.7) < 0.08 and judges["noise"] < 0.3
+
+
+def test_the_state_in_tables_gives_the_same(spark):
+    true, labels = simulated(400)
+    df = spark.createDataFrame(labels, SCHEMA)
+    here = consensus.fit_consensus(df, ["service"], warm=0)
+    there = consensus.fit_consensus(df, ["service"], local_cells=0, warm=0)
+    assert there.fit.sharded and not here.fit.sharded
+    a, b = ({r["item"]: r for r in f.items().collect()} for f in (here, there))
+    assert a.keys() == b.keys() and all(abs(a[i].confidence - b[i].confidence) < 1e-6 and a[i].label == b[i].label for i in a)
+    a, b = ({r.annotator: r for r in f.annotators().collect()} for f in (here, there))
+    assert a.keys() == b.keys() and all(abs(a[j].reliability - b[j].reliability) < 1e-6 and a[j].dependent_on == b[j].dependent_on for j in a)
+
+
+def test_reliability_weighs_labels_as_they_occur(spark):
+    rng = np.random.default_rng(5)
+    true = rng.choice(3, 1500, p=[0.8, 0.15, 0.05])
+    rows_ = [(f"k{i}", j, 0, int(t), "s") for i, t in enumerate(true) for j in ("a", "b", "c")]
+    rows_ += [(f"k{i}", "zero", 0, 0, "s") for i in range(1500)]  # right wherever the truth is 0
+    judges = {r.annotator: r for r in consensus.fit_consensus(spark.createDataFrame(rows_, SCHEMA)).annotators().collect()}
+    assert abs(judges["zero"].reliability - np.mean(true == 0)) < 0.02 and judges["a"].reliability > 0.98
+    assert abs(judges["zero"].bias + true.mean()) < 0.03
+
+
+def test_agreement_beyond_chance(spark):
+    rows_ = [("a", j, 0, 1, "s") for j in ("x", "y", "z")] + [("b", "x", 0, 1, "s"), ("b", "y", 0, 2, "s"), ("c", "x", 0, 2, "s")]
+    got = {r["item"]: r for r in consensus.fit_consensus(spark.createDataFrame(rows_, SCHEMA)).items().collect()}
+    assert got["a"].agreement == got["a"].corrected == 1.0 and got["b"].agreement == 0.0
+    assert got["b"].corrected < -0.5 and got["c"].agreement == 1.0 and got["c"].corrected is None
