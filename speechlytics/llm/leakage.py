@@ -2,8 +2,12 @@
 
 Method: q-gram lemma filtering. Texts are folded to a string of letters and digits. A passage of an item that
 stands in a document with few word edits shares at least a computable number of character q-grams with it, all in
-a narrow band of diagonals (position in the document less position in the item). Shared q-grams are counted in
-overlapping bands; regions that reach the item's bound are verified by an alignment of words within the band.
+a narrow band of diagonals. Shared q-grams are counted in overlapping bands; regions that reach the item's bound are
+verified by an alignment of words within the band.
+
+Diagonals are counted in words (word of the document less word of the item), not in characters: an inserted word shifts
+them by one, however long it is. The width of the bands follows from the edit budget and the longest item, and q is
+for each item the greatest one that its bound is positive for, so the filter loses no case.
 """
 
 from __future__ import annotations
@@ -21,16 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items held in one index; larger sets are searched in blocks of so many, one pass over the documents each.
+from speechlytics.session import Written
+
+#: Items that are held in an index in every task; with more, their q-grams stay in a table that documents are joined with.
 ITEM_BLOCK = 20_000
 #: Bytes of folded text scanned at once; bounds the memory of a task, not what is found.
 SCAN_BLOCK = 1 << 20
-_BITS = 22
+#: Sizes of q-grams to choose from, the greatest that gives a bound; with 2 every item has one.
+GRAMS = (8, 6, 4, 3, 2)
+#: Bits of the map of q-grams that occur in items: in an index, and at most where they stay in a table.
+_BITS, _TABLE_BITS = 22, 27
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _DELETE = bytes(c for c in range(256) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.{0,2000}?-->", re.S)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _INVISIBLE = re.compile("[­​-‏⁠﻿̀-ͯ]")
 _QUOTES = re.compile("['’‘ʼ`´′]")
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt]")
@@ -48,12 +57,20 @@ def _undo_mojibake(match: re.Match) -> str:
     return match[0]
 
 
+def _without_comments(text: str) -> str:
+    kept, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (stop := text.find("-->", start + 4)) >= 0:
+        kept.append(text[at:start])
+        at = stop + 3
+    return " ".join([*kept, text[at:]])
+
+
 def fold(text: str) -> str:
     """Lower-case text in which markup, entities, escapes, accents, quotes and invisible characters are resolved."""
     if "&" in text:
         text = html.unescape(html.unescape(text))
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub(" ", _without_comments(text))
     if "\\" in text:
         text = _ESCAPED.sub(lambda m: chr(int(m[1], 16)) if m[1] else " ", text)
     if "%" in text and _PERCENT.search(text):
@@ -109,42 +126,27 @@ def lemma_bounds(items: list[list[int]], least: int, edits: int, q: int) -> np.n
     return bounds
 
 
+def drift(n: int, one_in: int) -> int:
+    """How far the diagonals of a passage of up to ``n`` words may spread: an inserted or dropped word shifts them by
+    one, and so does a word that is written apart or together."""
+    return n + n // one_in + 1
+
+
 @dataclass
 class ItemIndex:
-    """The q-grams of a block of items, with each item's bound."""
+    """The q-grams of items that share a q, with each item's bound and the word that each q-gram begins in."""
 
     ids: list
     words: list[list[str]]
-    lengths: np.ndarray
     bounds: np.ndarray
     grams: np.ndarray
     starts: np.ndarray
     item: np.ndarray
-    at: np.ndarray
+    word: np.ndarray
     least: int
     one_in: int
     q: int
-    band: int
-
-    @classmethod
-    def build(cls, items: list[tuple], least: int, one_in: int, q: int, band: int) -> ItemIndex | None:
-        kept = [(i, w) for i, t in items if t is not None and len(w := words(t)) >= least]
-        if not kept:
-            return None
-        # A passage of n words may have n // one_in edits; some `least` consecutive words of it have no more than this.
-        edits = least // one_in + 1
-        data = ["".join(w).encode() for _, w in kept]
-        bounds = np.maximum(1, lemma_bounds([[len(x.encode()) for x in w] for _, w in kept], least, edits, q))
-        codes = [gram_codes(d, q) for d in data]
-        every = np.concatenate(codes)
-        item = np.repeat(np.arange(len(kept)), [len(c) for c in codes])
-        at = np.concatenate([np.arange(len(c)) for c in codes])
-        order = np.argsort(every, kind="stable")
-        grams, starts = np.unique(every[order], return_index=True)
-        return cls(
-            [i for i, _ in kept], [w for _, w in kept], np.array([len(d) for d in data]), bounds, grams,
-            np.append(starts, len(every)), item[order], at[order], least, one_in, q, band,
-        )
+    half: int
 
     def filter_map(self) -> np.ndarray:
         there = np.zeros(1 << _BITS, bool)
@@ -152,12 +154,51 @@ class ItemIndex:
         return there
 
 
-def candidate_regions(index: ItemIndex, there: np.ndarray, texts: list[bytes]) -> list[tuple[int, int, int]]:
-    """(text, item, diagonal) where the q-grams shared in two neighbouring half-bands reach the item's bound."""
-    data = b"".join(texts)
-    codes = gram_codes(data, index.q)
+def bounded(items: list[tuple], least: int, one_in: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(q, [(id, words, bound)]) of the items (id, text) that have at least ``least`` words."""
+    left = [(i, w) for i, t in items if t is not None and len(w := words(t)) >= least]
+    # A passage of n words may have n // one_in edits; some `least` consecutive words of it have no more than this.
+    edits = least // one_in + 1
+    for q in GRAMS:
+        if left:
+            bounds = lemma_bounds([[len(x.encode()) for x in w] for _, w in left], least, edits, q)
+            taken = [(i, w, int(b)) for (i, w), b in zip(left, bounds, strict=True) if b > 0 or q == GRAMS[-1]]
+            left = [x for x, b in zip(left, bounds, strict=True) if b <= 0 and q != GRAMS[-1]]
+            if taken:
+                yield q, taken
+
+
+def placed_grams(item: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The q-grams of an item and the word each begins in."""
+    parts = [w.encode() for w in item]
+    codes = gram_codes(b"".join(parts), q)
+    return codes, np.repeat(np.arange(len(parts)), [len(p) for p in parts])[: len(codes)]
+
+
+def build_indexes(items: list[tuple], least: int, one_in: int) -> list[ItemIndex]:
+    out = []
+    for q, kept in bounded(items, least, one_in):
+        grams = [placed_grams(w, q) for _, w, _ in kept]
+        every = np.concatenate([c for c, _ in grams])
+        item = np.repeat(np.arange(len(kept)), [len(c) for c, _ in grams])
+        word = np.concatenate([w for _, w in grams])
+        order = np.argsort(every, kind="stable")
+        one, starts = np.unique(every[order], return_index=True)
+        out.append(ItemIndex(
+            [i for i, _, _ in kept], [w for _, w, _ in kept], np.maximum(1, [b for _, _, b in kept]), one,
+            np.append(starts, len(every)), item[order], word[order], least, one_in, q,
+            drift(max(len(w) for _, w, _ in kept), one_in),
+        ))
+    return out
+
+
+def shared_grams(index: ItemIndex, there: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, place in it, item, word of the item) of every q-gram that a text shares with an item that reaches its bound
+    in this text, wherever they stand."""
+    none = (np.empty(0, np.int64),) * 4
+    codes = gram_codes(b"".join(texts), index.q)
     if not len(codes):
-        return []
+        return none
     maybe = np.flatnonzero(there[(codes * _SPREAD) >> np.uint64(64 - _BITS)])
     found = codes[maybe]
     slot = np.searchsorted(index.grams, found)
@@ -170,26 +211,19 @@ def candidate_regions(index: ItemIndex, there: np.ndarray, texts: list[bytes]) -
     maybe, slot, text = maybe[inside], slot[inside], text[inside]
     many = index.starts[slot + 1] - index.starts[slot]
     posting = np.repeat(index.starts[slot] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    item = index.item[posting]
-    text = np.repeat(text, many)
-    # Diagonals are shifted by the longest item, so that they are never negative.
-    reach, half = int(index.lengths.max()), index.band // 2
-    cell = (np.repeat(maybe, many) - begins[text] - index.at[posting] + reach) // half
-    cells = int((max(len(t) for t in texts) + reach) // half) + 2
-    key = (text * len(index.ids) + item) * cells + cell
-    key.sort(kind="stable")
-    total = len(key)
-    key, first = np.unique(key, return_index=True)
-    count = np.diff(np.append(first, total))
-    after = np.zeros(len(key), np.int64)
-    joined = key[1:] == key[:-1] + 1
-    after[:-1][joined] = count[1:][joined]
-    owner = key // cells
-    good = count + after >= index.bounds[owner % len(index.ids)]
-    return [
-        (int(o // len(index.ids)), int(o % len(index.ids)), int(c) * half - reach)
-        for o, c in zip(owner[good], (key % cells)[good], strict=True)
-    ]
+    item, text, at = index.item[posting], np.repeat(text, many), np.repeat(maybe - begins[text], many)
+    _, back, count = np.unique(text * len(index.ids) + item, return_inverse=True, return_counts=True)
+    enough = count[back] >= index.bounds[item]
+    return text[enough], at[enough], item[enough], index.word[posting][enough]
+
+
+def regions(diagonals: np.ndarray, half: int, bound: int) -> list[int]:
+    """The first diagonals of the bands of two half-bands in which at least ``bound`` of the shared q-grams lie."""
+    cell, count = np.unique(diagonals // half, return_counts=True)
+    after = np.zeros(len(cell), np.int64)
+    joined = np.flatnonzero(cell[1:] == cell[:-1] + 1)
+    after[joined] = count[joined + 1]
+    return [int(c) * half for c in cell[count + after >= bound]]
 
 
 def contains_passage(item: list[str], doc: list[str], least: int, one_in: int, open_end: bool = False) -> bool:
@@ -251,52 +285,44 @@ def contains_passage(item: list[str], doc: list[str], least: int, one_in: int, o
 
 
 def placed(text: str) -> tuple[list[str], np.ndarray]:
-    """The words of a text and where each ends in the squeezed text."""
+    """The words of a text and where each begins in the squeezed text."""
     doc = words(text)
-    return doc, np.cumsum([len(w.encode()) for w in doc])
+    return doc, np.concatenate([[0], np.cumsum([len(w.encode()) for w in doc])])[:-1]
 
 
-def verified(index: ItemIndex, item: int, doc: list[str], ends: np.ndarray, regions: list[int]) -> bool:
-    """Whether the item stands in the document near one of the given diagonals."""
-    begins = np.concatenate([[0], ends[:-1]])
-    length = int(index.lengths[item])
-    for diagonal in regions:
-        low = np.searchsorted(ends, diagonal - index.band, side="right")
-        high = np.searchsorted(begins, diagonal + length + 2 * index.band, side="left")
-        if contains_passage(index.words[item], doc[low:high], index.least, index.one_in, open_end=True):
+def verified(item: list[str], doc: list[str], starts: list[int], half: int, least: int, one_in: int) -> bool:
+    """Whether the item stands in the document within one of the bands of diagonals (each two half-bands from a start)."""
+    for first in starts:
+        low, high = max(0, first - half), max(0, first + 3 * half + len(item))
+        if contains_passage(item, doc[low:high], least, one_in, open_end=True):
             return True
     return False
 
 
-def _search(index: ItemIndex):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = index.filter_map()
-
-        def matches(texts: list[tuple]) -> Iterator[tuple]:
-            regions: dict[tuple[int, int], list[int]] = {}
-            for text, item, diagonal in candidate_regions(index, there, [s for _, _, s in texts]):
-                regions.setdefault((text, item), []).append(diagonal)
-            last, split = -1, None
-            for (text, item), diagonals in sorted(regions.items()):
-                if text != last:
-                    last, split = text, placed(texts[text][1])
-                if verified(index, item, *split, diagonals):
-                    yield index.ids[item], texts[text][0]
+def _search(indexes: list[ItemIndex]):
+    def matches(texts: list[tuple], index: ItemIndex, there: np.ndarray) -> Iterator[tuple]:
+        text, at, item, word = shared_grams(index, there, [s for _, _, s in texts])
+        order = np.lexsort((item, text))
+        text, at, item, word = text[order], at[order], item[order], word[order]
+        borders = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1
+        last, split = -1, None
+        for low, high in itertools.pairwise([0, *borders.tolist(), len(text)] if len(text) else []):
+            if text[low] != last:
+                last, split = text[low], placed(texts[text[low]][1])
+            doc, begins = split
+            diagonals = np.searchsorted(begins, at[low:high], side="right") - 1 - word[low:high]
+            k = item[low]
+            bands = regions(diagonals, index.half, int(index.bounds[k]))
+            if bands and verified(index.words[k], doc, bands, index.half, index.least, index.one_in):
+                yield index.ids[k], texts[text[low]][0]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = [i.filter_map() for i in indexes]
         for batch in batches:
             found: list[tuple] = []
-            waiting: list[tuple] = []
-            size = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                waiting.append((doc, text, squeezed(text)))
-                size += len(waiting[-1][2])
-                if size >= SCAN_BLOCK:
-                    found.extend(matches(waiting))
-                    waiting, size = [], 0
-            if waiting:
-                found.extend(matches(waiting))
+            for texts in _blocks(batch):
+                for index, there in zip(indexes, maps, strict=True):
+                    found.extend(matches(texts, index, there))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in found], pa.int64()), pa.array([d for _, d in found], pa.int64())],
                 names=["item_id", "doc_id"],
@@ -305,28 +331,139 @@ def _search(index: ItemIndex):
     return run
 
 
-def leaked_items(
-    documents: DataFrame, items: DataFrame, least: int = 14, one_in: int = 7, q: int = 8, band: int = 128
-) -> DataFrame:
+def _blocks(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """(id, text, squeezed text) of the texts that are not empty, in lists of some SCAN_BLOCK bytes."""
+    waiting: list[tuple] = []
+    size = 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        if text:
+            waiting.append((doc, text, squeezed(text)))
+            size += len(waiting[-1][2])
+        if size >= SCAN_BLOCK:
+            yield waiting
+            waiting, size = [], 0
+    if waiting:
+        yield waiting
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, least: int = 14, one_in: int = 7, block: int = ITEM_BLOCK) -> DataFrame:
     """(item_id, doc_id): the documents that contain a passage of an item.
 
     ``documents`` has doc_id and text, ``items`` item_id and text; NULL and empty texts match nothing, items shorter
     than ``least`` words cannot be found, items without an id are left out, and an item that stands several times in a
-    document, or rows written twice, give one row. The items are the stated query set: they
-    are brought to the driver in blocks of ITEM_BLOCK and sent to all tasks; every document is read whole, once a
-    block, and nothing is shuffled but the result.
+    document, or rows written twice, give one row. Up to ``block`` items (counted first) are sent to all tasks as an index;
+    every document is then read whole, once, and nothing is shuffled but the result. More items go through ``_joined``.
     """
     query = items.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    rows = sorted((r[0], r[1]) for r in query.toLocalIterator())
-    schema = "item_id bigint, doc_id bigint"
-    slim = documents.select("doc_id", "text")
-    out = None
-    for start in range(0, len(rows), ITEM_BLOCK):
-        index = ItemIndex.build(rows[start : start + ITEM_BLOCK], least, one_in, q, band)
-        if index is not None:
-            part = slim.mapInArrow(_search(index), schema)
-            out = part if out is None else out.unionByName(part)
-    return documents.sparkSession.createDataFrame([], schema) if out is None else out.distinct()
+    spark, schema = documents.sparkSession, "item_id bigint, doc_id bigint"
+    rows = query.limit(block + 1).collect()
+    if len(rows) > block:
+        return _joined(documents.select("doc_id", "text"), query, least, one_in)
+    indexes = build_indexes(sorted((r[0], r[1]) for r in rows), least, one_in)
+    if not indexes:
+        return spark.createDataFrame([], schema)
+    sent = spark.sparkContext.broadcast(indexes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _search(sent.value)(batches)
+
+    return documents.select("doc_id", "text").mapInArrow(run, schema).distinct()
+
+
+def _joined(documents: DataFrame, items: DataFrame, least: int, one_in: int) -> DataFrame:
+    """``leaked_items`` for any number of items: their q-grams stay in a table.
+
+    Documents give the q-grams that a map of bits (at most 2 ** _TABLE_BITS) knows from some item; they are joined on the
+    q-gram, counted by document, item and band, and what reaches its bound is verified beside the two texts.
+    """
+    spark = documents.sparkSession
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("q", "gram", "item_id", "word", "bound", "n", "text")}
+            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            text_of: dict = {}
+            for i, t in pairs:
+                text_of.setdefault(i, []).append(t)
+            for i, texts in text_of.items():  # an id with several texts is several items
+                for t in texts:
+                    for q, kept in bounded([(i, t)], least, one_in):
+                        for _, w, bound in kept:
+                            codes, word = placed_grams(w, q)
+                            for c, values in (("q", [q]), ("item_id", [i]), ("bound", [max(1, bound)]), ("n", [len(w)]), ("text", [t])):
+                                out[c] += values * len(codes)
+                            out["gram"] += codes.view(np.int64).tolist()
+                            out["word"] += word.tolist()
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+
+    table = Written(items.mapInArrow(postings, "q int, gram bigint, item_id bigint, word int, bound int, n int, text string"), "postings").read()
+    size, longest = table.select(F.count(F.lit(1)), F.max("n")).first()
+    if not size:
+        return spark.createDataFrame([], "item_id bigint, doc_id bigint")
+    half = drift(longest, one_in)
+    bits = min(_TABLE_BITS, max(16, int(size * 8).bit_length()))
+    sizes = sorted(r[0] for r in table.select("q").distinct().collect())
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch["gram"].to_numpy(zero_copy_only=False).view(np.uint64)
+            slot = np.unique((codes * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
+            word, back = np.unique(slot >> 6, return_inverse=True)
+            mask = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(mask, back, np.uint64(1) << (slot & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+    # At most 2 ** (_TABLE_BITS - 6) rows, each a word of the map.
+    known = table.select("gram").mapInArrow(slots, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words_of = np.zeros(1 << (bits - 6), np.uint64)
+    words_of[known["word"].to_numpy()] = known["mask"].to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(words_of)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = sent.value
+        for batch in batches:
+            for texts in _blocks(batch):
+                for doc, text, short in texts:
+                    begins = None
+                    for q in sizes:
+                        codes = gram_codes(short, q)
+                        slot = (codes * _SPREAD) >> np.uint64(64 - bits)
+                        at = np.flatnonzero((there[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+                        if not len(at):
+                            continue
+                        begins = placed(text)[1] if begins is None else begins
+                        word = np.searchsorted(begins, at, side="right") - 1
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(len(at), q, np.int32)), pa.array(codes[at].view(np.int64)),
+                                pa.array(np.full(len(at), doc, np.int64)), pa.array(word.astype(np.int32)),
+                            ],
+                            names=["q", "gram", "doc_id", "doc_word"],
+                        )
+
+    heard = documents.filter(F.col("doc_id").isNotNull()).mapInArrow(hits, "q int, gram bigint, doc_id bigint, doc_word int")
+    cell = F.floor((F.col("doc_word") - F.col("word")) / F.lit(half))
+    bands = (
+        heard.join(table, ["q", "gram"])
+        .groupBy("doc_id", "item_id", "text", "bound", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("cell", F.explode(F.array(F.col("cell"), F.col("cell") - 1)))
+        .groupBy("doc_id", "item_id", "text", "bound", "cell").agg(F.sum("n").alias("n"))
+        .filter(F.col("n") >= F.col("bound"))
+        .groupBy("doc_id", "item_id", F.col("text").alias("item_text")).agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+    )
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [
+                verified(words(i), words(d), [c * half for c in cells], half, least, one_in)
+                for d, i, cells in zip(*(batch[c].to_pylist() for c in ("text", "item_text", "cells")), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch["item_id"], batch["doc_id"]], names=["item_id", "doc_id"]).filter(pa.array(good, pa.bool_()))
+
+    texts = documents.select("doc_id", "text").filter(F.col("text") != "")
+    found = bands.join(texts, "doc_id").select("item_id", "doc_id", "text", "item_text", "cells")
+    return found.mapInArrow(check, "item_id bigint, doc_id bigint").distinct()
 
 
 def leakage_report(documents: DataFrame, items: DataFrame, **options) -> DataFrame:

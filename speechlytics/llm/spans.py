@@ -178,17 +178,9 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def anchor_pairs(
-    documents: DataFrame, least: int = 400, shingle: int = 300, only_starts: bool = False
-) -> DataFrame:
-    """Pairs of records at the ends of what they share, with how far their texts agree around an anchor.
-
-    Columns: doc_a < doc_b, pos_a, pos_b (of the anchor), starts, ends (the pair is not joined to one at the
-    previous or next anchor), before, after (code points in agreement beside the anchor, at most
-    least - shingle). A run shared by two records contains anchors common to both; within it, consecutive ones
-    carry the hash of the whole text between them and are skipped, so a run gives its two ends and not a pair for
-    each anchor. The first record's anchors with none before them always count.
-    """
+def _around(documents: DataFrame, least: int, shingle: int) -> DataFrame:
+    """The occurrences of anchors that stand in more than one record, with the text beside them:
+    (gram, check, doc_id, pos, prev, next, left, right)."""
     slim = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     found = Written(
         slim.mapInArrow(_anchor_batches(least, shingle), "doc_id bigint, pos int, gram bigint"), "anchors"
@@ -199,14 +191,27 @@ def anchor_pairs(
         found.read().join(shared, "gram", "left_semi")
         .groupBy("doc_id").agg(F.collect_set(F.struct("pos", "gram")).alias("hits"))
     )
-    around = Written(
+    return Written(
         slim.join(hits, "doc_id").mapInArrow(
             _context_batches(least, shingle),
             "gram bigint, check bigint, doc_id bigint, pos int, prev bigint, next bigint, left string, right string",
         ),
         "contexts",
-    )
-    every = around.read()
+    ).read()
+
+
+def anchor_pairs(
+    documents: DataFrame, least: int = 400, shingle: int = 300, only_starts: bool = False
+) -> DataFrame:
+    """Pairs of records at the ends of what they share, with how far their texts agree around an anchor.
+
+    Columns: doc_a < doc_b, pos_a, pos_b (of the anchor), starts, ends (the pair is not joined to one at the
+    previous or next anchor), before, after (code points in agreement beside the anchor, at most
+    least - shingle). A run shared by two records contains anchors common to both; within it, consecutive ones
+    carry the hash of the whole text between them and are skipped, so a run gives its two ends and not a pair for
+    each anchor. The first record's anchors with none before them always count.
+    """
+    every = _around(documents, least, shingle)
     ends = lambda c: (F.count(c) < F.count(F.lit(1))) | (F.min(c) != F.max(c))
     lively = every.groupBy("gram", "check").agg((ends("prev") if only_starts else ends("prev") | ends("next")).alias("on"))
     every = every.join(lively.filter("on").drop("on"), ["gram", "check"], "left_semi")
@@ -256,21 +261,72 @@ def shared_runs(documents: DataFrame, least: int = 400, shingle: int = 300) -> D
     )
 
 
+def _window_batches(reach: int):
+    """The hash of every window of each context (left, right): (context, offset, window, lo, hi)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(batch[c].to_pylist() for c in ("left", "right")), strict=True))
+            first = np.array([max(0, reach - len(r)) for _, r in rows], np.int64)
+            many = np.array([max(0, min(reach, len(a)) + 1) for a, _ in rows], np.int64) - first
+            many = np.maximum(many, 0)
+            owner = np.repeat(np.arange(len(rows)), many)
+            offset = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + first[owner]
+            codes = np.empty(len(owner), np.uint64)
+            for at, (k, o) in enumerate(zip(owner.tolist(), offset.tolist(), strict=True)):
+                a, r = rows[k]
+                codes[at] = xxhash.xxh3_64_intdigest(f"{a[len(a) - o :]}\0{r[: reach - o]}".encode("utf-8", "surrogatepass"))
+            take = lambda c: batch[c].take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays(
+                [take("gram"), take("check"), take("context"), pa.array(offset.astype(np.int32)), pa.array(codes.view(np.int64)), take("lo"), take("hi")],
+                names=["gram", "check", "context", "offset", "window", "lo", "hi"],
+            )
+
+    return run
+
+
 def shared_amount(documents: DataFrame, least: int = 400, shingle: int = 300) -> DataFrame:
-    """One row a record: (doc_id, n_chars, shared_chars, n_partners, class_id).
+    """One row a record: (doc_id, n_chars, shared_chars, n_links, class_id).
+
+    shared_chars counts the code points that lie in a run of at least ``least`` common with another record; class_id is the
+    least doc_id of the component of records that share, its own if it shares nothing. A NULL text has 0 characters.
 
-    shared_chars counts the code points that lie in a run of at least ``least`` common with another record;
-    n_partners the records it has one with; class_id is the least doc_id of its component, its own if it shares
-    nothing. A NULL text has 0 characters.
+    No pairs of records are made. Every window of ``least`` code points has one anchor; occurrences of an anchor with the
+    same text on both sides are one context, and only where an anchor has several contexts are their windows compared, by
+    hash: a window that several records have links each context to the least of those records (n_links counts a record's
+    distinct links of this form, in either direction). The windows of one occurrence that are shared overlap, so the least and the
+    greatest give the run. A text that stands in M records costs some rows for each of them, whatever surrounds it.
     """
-    runs = Written(shared_runs(documents, least, shingle), "runs").read()
-    links = runs.select("doc_a", "doc_b").distinct()
-    classes = connected_components(links.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")))
-    partners = links.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).groupBy("doc_id").count()
+    reach = least - shingle
+    context = F.xxhash64(F.lit("context"), "left", "right")
+    every = _around(documents, least, shingle).withColumn("context", context)
+    keys = ["gram", "check", "context"]
+    contexts = Written(
+        every.filter(F.char_length("left") + F.char_length("right") >= reach)
+        .groupBy(*keys).agg(F.first("left").alias("left"), F.first("right").alias("right"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")),
+        "window-contexts",
+    ).read()
+    several = contexts.groupBy("gram", "check").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    windows = Written(
+        contexts.join(several, ["gram", "check"], "left_semi").mapInArrow(
+            _window_batches(reach),
+            "gram bigint, check bigint, context bigint, offset int, window bigint, lo bigint, hi bigint",
+        ),
+        "windows",
+    ).read()
+    same = ["gram", "check", "offset", "window"]
+    common = windows.groupBy(*same).agg(F.min("lo").alias("first"), F.max("hi").alias("last")).filter("first < last")
+    met = windows.join(common, same).select(*keys, "offset", "lo", "hi", "first")
+    # A context of several records shares all of its windows; another those that some other context has.
+    low = F.greatest(F.lit(0), reach - F.char_length("right"))
+    whole = contexts.filter("lo < hi").select(*keys, low.alias("from"), F.least(F.lit(reach), F.char_length("left")).alias("to"))
+    reached = (
+        met.select(*keys, F.col("offset").alias("from"), F.col("offset").alias("to")).unionByName(whole)
+        .groupBy(*keys).agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    )
     spans = (
-        runs.select(F.col("doc_a").alias("doc_id"), F.col("begin_a").alias("s"), (F.col("begin_a") + F.col("n_chars")).alias("e"))
-        .union(runs.select("doc_b", "begin_b", F.col("begin_b") + F.col("n_chars")))
-        .groupBy("doc_id", "s").agg(F.max("e").alias("e"))
+        every.join(reached, keys)
+        .groupBy("doc_id", (F.col("pos") - F.col("to")).alias("s")).agg(F.max(F.col("pos") - F.col("from") + least).alias("e"))
     )
     before = "PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     covered = (
@@ -278,13 +334,22 @@ def shared_amount(documents: DataFrame, least: int = 400, shingle: int = 300) ->
         .groupBy("doc_id")
         .agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "reached"))).alias("shared_chars"))
     )
+    of_context = contexts.filter("lo < hi").select(*keys, "lo")
+    edges = (
+        met.select(F.col("first").alias("u"), F.col("lo").alias("v"))
+        .union(every.join(of_context, keys).select(F.col("lo").alias("u"), F.col("doc_id").alias("v")))
+        .filter("u <> v").distinct()
+    )
+    links = Written(edges, "links").read()
+    classes = connected_components(links)
+    many = links.select(F.explode(F.array("u", "v")).alias("doc_id")).groupBy("doc_id").count()
     return (
-        documents.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"))
+        documents.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"))
         .join(covered, "doc_id", "left")
-        .join(partners, "doc_id", "left")
+        .join(many, "doc_id", "left")
         .join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select(
             "doc_id", "n_chars", F.coalesce("shared_chars", F.lit(0)).cast("bigint").alias("shared_chars"),
-            F.coalesce("count", F.lit(0)).alias("n_partners"), F.coalesce("class_id", "doc_id").alias("class_id"),
+            F.coalesce("count", F.lit(0)).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"),
         )
     )

@@ -129,3 +129,52 @@ def test_documents(spark):
     report = {r.item_id: r.n_docs for r in L.leakage_report(df, table).collect()}
     assert report[99] == 0 and sum(report.values()) == len(want)
     assert L.leaked_items(df.limit(0), table).isEmpty() and L.leaked_items(df, table.limit(0)).isEmpty()
+
+
+def odd_items():
+    """Items with long insertions, of short words, and with words written apart, and documents that hold them."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    plain = [f"word{c}" for c in letters[:14]]
+    short = [letters[k % 26] for k in range(0, 42, 3)]
+    tiny = ["a", "bc"] * 8
+    items = {1: plain, 2: short, 3: tiny, 4: plain[::-1] + short}
+    docs = {
+        1: plain[:5] + ["x" * 130] + plain[5:9] + ["y" * 130] + plain[9:],
+        2: plain[:5] + ["x" * 5000] + plain[5:],
+        3: ["so"] + short[:7] + ["new"] + short[7:] + ["end"],
+        4: tiny[:6] + ["zz"] + tiny[7:],
+        5: plain[:4] + ["x", "y", "z"] + plain[4:],
+        6: [part for w in plain for part in (w[:2], w[2:])],
+        7: ["lead"] * 500 + items[4] + ["tail"] * 500,
+    }
+    return items, docs
+
+
+@pytest.mark.parametrize("block", [100, 1])
+def test_no_case_is_lost_by_the_filter(spark, block):
+    items, docs = odd_items()
+    want = {(i, d) for i, item in items.items() for d, doc in docs.items() if L.contains_passage(item, doc, 14, 7, open_end=True)}
+    assert {(1, 1), (1, 2), (2, 3), (3, 4), (1, 6), (4, 7)} <= want and (1, 5) not in want
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()] + [(99, None), (98, "")], "doc_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert rows(L.leaked_items(df, table, block=block)) == sorted(want, key=repr)
+
+
+def test_both_ways_give_the_same(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(120)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(say(rng.choice([13, 14, 18, 40])))) for k in range(25)]
+    docs = []
+    for d in range(60):
+        piece = items[rng.randrange(25)][1].split()
+        for _ in range(rng.randint(0, 3)):
+            piece[rng.randrange(len(piece))] = "new"
+        docs.append((d, " ".join(say(rng.randint(0, 90)) + piece + say(20))))
+    df, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(((i, d) for i, a in items for d, b in docs if L.contains_passage(a.split(), b.split(), 14, 7, open_end=True)), key=repr)
+    assert want and rows(L.leaked_items(df, table)) == rows(L.leaked_items(df, table, block=3)) == want
+
+
+def test_markup_of_any_length():
+    assert L.words('one<a title="' + "t" * 900 + '">two</a><!--' + "c" * 9000 + "-->three <!-- open") == ["one", "two", "three", "open"]

@@ -85,3 +85,16 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "u long, v long")
     assert rows(components.connected_components(df)) == sorted(((i, find(i)) for i in root), key=repr)
     assert components.connected_components(df.limit(0)).isEmpty()
+
+
+def test_one_notice_in_very_many_records(spark):
+    rng = random.Random(3)
+    notice = "".join(rng.choice("abcdefghij") for _ in range(150))
+    own = lambda n: "".join(rng.choice("klmnopqrst") for _ in range(n))
+    texts = [(k, own(rng.randint(0, 60)) + notice + own(rng.randint(0, 60))) for k in range(5000)] + [(9000, own(300))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in spans.shared_amount(df, LEAST, SHINGLE).collect()}
+    assert len(got) == 5001 and got[9000].shared_chars == 0 and got[9000].class_id == 9000
+    # Neighbouring letters may agree by chance, so some records share a little more than the notice.
+    assert all(r.class_id == 0 and 150 <= r.shared_chars <= 162 for k, r in got.items() if k < 5000)
+    assert sum(r.n_links for r in got.values()) < 100 * len(got)
