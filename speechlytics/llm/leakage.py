@@ -6,8 +6,9 @@ a narrow band of diagonals. Shared q-grams are counted in overlapping bands; reg
 verified by an alignment of words within the band.
 
 Diagonals are counted in words (word of the document less word of the item), not in characters: an inserted word shifts
-them by one, however long it is. The width of the bands follows from the edit budget and the longest item, and q is
-for each item the greatest one that its bound is positive for, so the filter loses no case.
+them by one, however long it is. The width of the bands follows from the edit budget, q is for each item the greatest
+one that its bound is positive for, and of a q-gram that stands in a band several times one counts, so the filter
+loses no case and passes few others.
 """
 
 from __future__ import annotations
@@ -126,15 +127,30 @@ def lemma_bounds(items: list[list[int]], least: int, edits: int, q: int) -> np.n
     return bounds
 
 
-def drift(n: int, one_in: int) -> int:
-    """How far the diagonals of a passage of up to ``n`` words may spread: an inserted or dropped word shifts them by
-    one, and so does a word that is written apart or together."""
-    return n + n // one_in + 1
+def budget(least: int, one_in: int) -> int:
+    """The most edits that some ``least`` consecutive words of every passage have: with more in each, the whole passage
+    would have more than one in ``one_in``."""
+    return least // one_in + 1
+
+
+def spread(least: int, one_in: int) -> int:
+    """How far the diagonals of such words may lie apart: an inserted or dropped word shifts them by one, and so does a
+    word that is written apart or together."""
+    return least + budget(least, one_in) + 1
+
+
+def reach(least: int, one_in: int) -> int:
+    """How many words a passage may go on before or after ``least`` of its words, in the item or in the document.
+
+    A passage of twice ``least`` words or more always has a shorter one in it (cut it after a multiple of ``one_in`` words:
+    one of the parts keeps to the budget), so less than ``least`` words are left of it, each of which may be written apart.
+    """
+    return 2 * least + 2 * budget(least, one_in)
 
 
 @dataclass
 class ItemIndex:
-    """The q-grams of items that share a q, with each item's bound and the word that each q-gram begins in."""
+    """The q-grams of items that share a q, with each item's bound, and each q-gram's place and the word it begins in."""
 
     ids: list
     words: list[list[str]]
@@ -142,11 +158,11 @@ class ItemIndex:
     grams: np.ndarray
     starts: np.ndarray
     item: np.ndarray
+    place: np.ndarray
     word: np.ndarray
     least: int
     one_in: int
     q: int
-    half: int
 
     def filter_map(self) -> np.ndarray:
         there = np.zeros(1 << _BITS, bool)
@@ -157,8 +173,7 @@ class ItemIndex:
 def bounded(items: list[tuple], least: int, one_in: int) -> Iterator[tuple[int, list[tuple]]]:
     """(q, [(id, words, bound)]) of the items (id, text) that have at least ``least`` words."""
     left = [(i, w) for i, t in items if t is not None and len(w := words(t)) >= least]
-    # A passage of n words may have n // one_in edits; some `least` consecutive words of it have no more than this.
-    edits = least // one_in + 1
+    edits = budget(least, one_in)
     for q in GRAMS:
         if left:
             bounds = lemma_bounds([[len(x.encode()) for x in w] for _, w in left], least, edits, q)
@@ -181,24 +196,22 @@ def build_indexes(items: list[tuple], least: int, one_in: int) -> list[ItemIndex
         grams = [placed_grams(w, q) for _, w, _ in kept]
         every = np.concatenate([c for c, _ in grams])
         item = np.repeat(np.arange(len(kept)), [len(c) for c, _ in grams])
+        place = np.concatenate([np.arange(len(c)) for c, _ in grams])
         word = np.concatenate([w for _, w in grams])
         order = np.argsort(every, kind="stable")
         one, starts = np.unique(every[order], return_index=True)
         out.append(ItemIndex(
             [i for i, _, _ in kept], [w for _, w, _ in kept], np.maximum(1, [b for _, _, b in kept]), one,
-            np.append(starts, len(every)), item[order], word[order], least, one_in, q,
-            drift(max(len(w) for _, w, _ in kept), one_in),
+            np.append(starts, len(every)), item[order], place[order], word[order], least, one_in, q,
         ))
     return out
 
 
 def shared_grams(index: ItemIndex, there: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, place in it, item, word of the item) of every q-gram that a text shares with an item that reaches its bound
-    in this text, wherever they stand."""
-    none = (np.empty(0, np.int64),) * 4
+    """(text, place in it, item, place in the item, word of the item) of every q-gram that a text shares with an item."""
     codes = gram_codes(b"".join(texts), index.q)
     if not len(codes):
-        return none
+        return (np.empty(0, np.int64),) * 5
     maybe = np.flatnonzero(there[(codes * _SPREAD) >> np.uint64(64 - _BITS)])
     found = codes[maybe]
     slot = np.searchsorted(index.grams, found)
@@ -211,19 +224,22 @@ def shared_grams(index: ItemIndex, there: np.ndarray, texts: list[bytes]) -> tup
     maybe, slot, text = maybe[inside], slot[inside], text[inside]
     many = index.starts[slot + 1] - index.starts[slot]
     posting = np.repeat(index.starts[slot] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    item, text, at = index.item[posting], np.repeat(text, many), np.repeat(maybe - begins[text], many)
-    _, back, count = np.unique(text * len(index.ids) + item, return_inverse=True, return_counts=True)
-    enough = count[back] >= index.bounds[item]
-    return text[enough], at[enough], item[enough], index.word[posting][enough]
+    return (
+        np.repeat(text, many), np.repeat(maybe - begins[text], many), index.item[posting], index.place[posting], index.word[posting]
+    )
 
 
-def regions(diagonals: np.ndarray, half: int, bound: int) -> list[int]:
-    """The first diagonals of the bands of two half-bands in which at least ``bound`` of the shared q-grams lie."""
-    cell, count = np.unique(diagonals // half, return_counts=True)
-    after = np.zeros(len(cell), np.int64)
-    joined = np.flatnonzero(cell[1:] == cell[:-1] + 1)
-    after[joined] = count[joined + 1]
-    return [int(c) * half for c in cell[count + after >= bound]]
+def dense(group: np.ndarray, place: np.ndarray, word: np.ndarray, bound: np.ndarray, least: int) -> np.ndarray:
+    """Whether at least ``bound`` different q-grams of the same group begin in the ``least`` words from an entry's word on."""
+    order = np.lexsort((place, group))
+    g, p, w = group[order], place[order], word[order]
+    one = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])]) if len(g) else np.empty(0, bool)
+    wide = int(word.max(initial=0)) + least + 1
+    key = g[one] * wide + w[one]  # places go up with words, so this is sorted
+    enough = np.searchsorted(key, key + least) - np.arange(len(key)) >= bound[order][one]
+    out = np.empty(len(g), bool)
+    out[order] = enough[np.cumsum(one) - 1]
+    return out
 
 
 def contains_passage(item: list[str], doc: list[str], least: int, one_in: int, open_end: bool = False) -> bool:
@@ -284,45 +300,94 @@ def contains_passage(item: list[str], doc: list[str], least: int, one_in: int, o
     return False
 
 
-def placed(text: str) -> tuple[list[str], np.ndarray]:
-    """The words of a text and where each begins in the squeezed text."""
-    doc = words(text)
-    return doc, np.concatenate([[0], np.cumsum([len(w.encode()) for w in doc])])[:-1]
+_LETTER = np.array([c not in _DELETE for c in range(256)])
 
 
-def verified(item: list[str], doc: list[str], starts: list[int], half: int, least: int, one_in: int) -> bool:
+def word_starts(text: str) -> np.ndarray:
+    """Where each word of a text begins in the squeezed text."""
+    if text.isascii() and not ("&" in text or "<" in text or "\\" in text or "%" in text):
+        letter = _LETTER[np.frombuffer(text.encode("ascii").translate(None, b"'`"), np.uint8)]
+        first = letter.copy()
+        first[1:] &= ~letter[:-1]
+        return (np.cumsum(letter) - 1)[first]
+    return np.concatenate([[0], np.cumsum([len(w.encode("utf-8", "replace")) for w in words(text)])])[:-1]
+
+
+def _slice(short: bytes, starts: np.ndarray, low: int, high: int) -> list[str]:
+    ends = [*starts[low + 1 : high + 1].tolist(), len(short)]
+    return [short[a:b].decode() for a, b in zip(starts[low:high].tolist(), ends, strict=False)]
+
+
+def verified(item: list[str], doc: list[str], bands: list[int], half: int, least: int, one_in: int) -> bool:
     """Whether the item stands in the document within one of the bands of diagonals (each two half-bands from a start)."""
-    for first in starts:
-        low, high = max(0, first - half), max(0, first + 3 * half + len(item))
+    far = reach(least, one_in)
+    for first in bands:
+        low, high = max(0, first - far), max(0, first + 2 * half + len(item) + far)
         if contains_passage(item, doc[low:high], least, one_in, open_end=True):
             return True
     return False
 
 
-def _search(indexes: list[ItemIndex]):
-    def matches(texts: list[tuple], index: ItemIndex, there: np.ndarray) -> Iterator[tuple]:
-        text, at, item, word = shared_grams(index, there, [s for _, _, s in texts])
-        order = np.lexsort((item, text))
-        text, at, item, word = text[order], at[order], item[order], word[order]
-        borders = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1
-        last, split = -1, None
-        for low, high in itertools.pairwise([0, *borders.tolist(), len(text)] if len(text) else []):
-            if text[low] != last:
-                last, split = text[low], placed(texts[text[low]][1])
-            doc, begins = split
-            diagonals = np.searchsorted(begins, at[low:high], side="right") - 1 - word[low:high]
-            k = item[low]
-            bands = regions(diagonals, index.half, int(index.bounds[k]))
-            if bands and verified(index.words[k], doc, bands, index.half, index.least, index.one_in):
-                yield index.ids[k], texts[text[low]][0]
+def _matches(texts: list[tuple], index: ItemIndex, there: np.ndarray) -> Iterator[tuple]:
+    """(item id, document id) of the passages of the index's items in texts (id, text, squeezed text)."""
+    least, one_in, items = index.least, index.one_in, len(index.ids)
+    hits = shared_grams(index, there, [s for _, _, s in texts])
+    # Wherever they stand first, as that needs no words of the texts; then within bands of diagonals.
+    pair = hits[0] * items + hits[2]
+    if len(pair):
+        _, back, many = np.unique(pair, return_inverse=True, return_counts=True)
+        enough = many[back] >= index.bounds[hits[2]]
+        hits = [h[enough] for h in hits]
+    _, pair = np.unique(hits[0] * items + hits[2], return_inverse=True)
+    good = dense(pair, hits[3], hits[4], index.bounds[hits[2]], least)
+    keep = (np.bincount(pair, good) > 0)[pair] if len(pair) else good
+    text, at, item, place, word = (h[keep] for h in hits)
+    if not len(text):
+        return
+    begins = {t: word_starts(texts[t][1]) for t in np.unique(text).tolist()}
+    doc_word = np.empty(len(text), np.int64)
+    for t, starts in begins.items():
+        mine = text == t
+        doc_word[mine] = np.searchsorted(starts, at[mine], side="right") - 1
+    half = spread(least, one_in)
+    cell = (doc_word - word) // half
+    twice = lambda x: np.concatenate([x, x])
+    band = np.concatenate([cell, cell - 1])
+    text, item, place, word, doc_word = map(twice, (text, item, place, word, doc_word))
+    low = int(band.min())
+    group = (text * items + item) * (int(band.max()) - low + 1) + band - low
+    _, group = np.unique(group, return_inverse=True)
+    good = dense(group, place, word, index.bounds[item], least)
+    if not good.any():
+        return
+    order = np.argsort(group, kind="stable")
+    wanted = np.unique(group[good])
+    edges = (np.searchsorted(group[order], wanted, side=s) for s in ("left", "right"))
+    far = reach(least, one_in)
+    done: set = set()
+    for a, b in zip(*edges, strict=True):
+        mine = order[a:b]
+        t, k = int(text[mine[0]]), int(item[mine[0]])
+        if (t, k) in done:
+            continue
+        seeds = word[mine[good[mine]]]
+        first, last = int(seeds.min()), int(seeds.max()) + least
+        near = doc_word[mine[(word[mine] >= first) & (word[mine] < last)]]
+        said = index.words[k][max(0, first - far) : last + far]
+        doc = _slice(texts[t][2], begins[t], max(0, int(near.min()) - far), int(near.max()) + far + 1)
+        if contains_passage(said, doc, least, one_in, open_end=True):
+            done.add((t, k))
+            yield index.ids[k], texts[t][0]
 
+
+def _search(indexes: list[ItemIndex]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [i.filter_map() for i in indexes]
         for batch in batches:
             found: list[tuple] = []
             for texts in _blocks(batch):
                 for index, there in zip(indexes, maps, strict=True):
-                    found.extend(matches(texts, index, there))
+                    found.extend(_matches(texts, index, there))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in found], pa.int64()), pa.array([d for _, d in found], pa.int64())],
                 names=["item_id", "doc_id"],
@@ -380,7 +445,7 @@ def _joined(documents: DataFrame, items: DataFrame, least: int, one_in: int) ->
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("q", "gram", "item_id", "word", "bound", "n", "text")}
+            out: dict[str, list] = {c: [] for c in ("q", "gram", "item_id", "word", "bound", "text")}
             pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             text_of: dict = {}
             for i, t in pairs:
@@ -390,18 +455,18 @@ def _joined(documents: DataFrame, items: DataFrame, least: int, one_in: int) ->
                     for q, kept in bounded([(i, t)], least, one_in):
                         for _, w, bound in kept:
                             codes, word = placed_grams(w, q)
-                            for c, values in (("q", [q]), ("item_id", [i]), ("bound", [max(1, bound)]), ("n", [len(w)]), ("text", [t])):
+                            for c, values in (("q", [q]), ("item_id", [i]), ("bound", [max(1, bound)]), ("text", [t])):
                                 out[c] += values * len(codes)
                             out["gram"] += codes.view(np.int64).tolist()
                             out["word"] += word.tolist()
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
-    table = Written(items.mapInArrow(postings, "q int, gram bigint, item_id bigint, word int, bound int, n int, text string"), "postings").read()
-    size, longest = table.select(F.count(F.lit(1)), F.max("n")).first()
+    table = Written(items.mapInArrow(postings, "q int, gram bigint, item_id bigint, word int, bound int, text string"), "postings").read()
+    size = table.count()
     if not size:
         return spark.createDataFrame([], "item_id bigint, doc_id bigint")
-    half = drift(longest, one_in)
+    half = spread(least, one_in)
     bits = min(_TABLE_BITS, max(16, int(size * 8).bit_length()))
     sizes = sorted(r[0] for r in table.select("q").distinct().collect())
 
@@ -432,7 +497,7 @@ def _joined(documents: DataFrame, items: DataFrame, least: int, one_in: int) ->
                         at = np.flatnonzero((there[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
                         if not len(at):
                             continue
-                        begins = placed(text)[1] if begins is None else begins
+                        begins = word_starts(text) if begins is None else begins
                         word = np.searchsorted(begins, at, side="right") - 1
                         yield pa.RecordBatch.from_arrays(
                             [
