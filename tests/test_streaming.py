@@ -71,3 +71,73 @@ def test_sink_is_idempotent(spark, tmp_path):
     write(spark.createDataFrame([("a", 2)], "k string, n int"), 1)
     write(spark.createDataFrame([("a", 2)], "k string, n int"), 1)
     assert rows(S.read_sink(spark, str(tmp_path / "t"))) == [("a", 2), ("b", 1)]
+
+
+def streamed(spark, tmp_path, batches, with_starts=False):
+    """The sink after every list of rows was a micro-batch of its own."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write = lambda data: spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([], SCHEMA).coalesce(1).write.parquet(source)
+    query = S.run_collection(spark.readStream.schema(SCHEMA).parquet(source), out, str(tmp_path / "ck"), with_starts)
+    try:
+        later = [at("flush", k, (8000.0 + 60 * k, "x")) for k in range(2)]
+        for data in [*batches, *later]:
+            write(data)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    found = S.read_sink(spark, out)
+    return {r.sample_id: r.transcription for r in found.collect() if r.sample_id != "flush"} if found else {}
+
+
+def test_each_segment_a_batch_of_its_own(spark, tmp_path):
+    data = [*DATA, *at("other", 0, (100.0, "between")), *[("three", 0, 9, T0 + timedelta(seconds=205), "late")]]
+    data.sort(key=lambda r: (r[3], r[0]))
+    batch = {r.sample_id: r.transcription for r in S.collect_segments(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert batch == WANT | {"other": "between"}
+    assert streamed(spark, tmp_path, [[r] for r in data]) == batch
+
+
+def test_an_old_attempt_does_not_come_back(spark, tmp_path):
+    second, first = at("s", 2, (0.0, "second")), at("s", 1, (30.0, "first"))
+    between = [at("t", 0, (60.0, "x")), at("t", 1, (90.0, "y"))]
+    assert streamed(spark, tmp_path, [second, first, *between])["s"] == "second"
+
+
+def test_start_of_the_silence(spark, tmp_path):
+    # Segments before the silence do not close it; from its start gaps count, and the cap.
+    said = at("s", 0, (-6.0, "a"), (-3.0, "b"), (1.9, "c"), (3.95, "lost")) + at("t", 0, (9.5, "a"), (9.9, "b"), (10.5, "lost"))
+    said += at("u", 0, (10.5, "lost"))
+    begins = [(k, T0) for k in "stu"]
+    starts = spark.createDataFrame(begins, "sample_id string, silence_start timestamp")
+    batch = {r.sample_id: r.transcription for r in S.collect_segments(spark.createDataFrame(said, SCHEMA), starts).collect()}
+    assert batch == {"s": "a b c", "t": "a b"}
+    events = sorted(said + [(k, 0, -1, at_, None) for k, at_ in begins], key=lambda r: (r[3], r[0]))
+    assert streamed(spark, tmp_path, [[r] for r in events], True) == batch
+
+
+def test_waiting(spark):
+    metrics = spark.createDataFrame([("s", T0 + timedelta(seconds=k), v, o) for k, v, o in ((1, 0.5, "stt"), (13, 0.9, "stt"), (2, 0.7, "vad"))], "sample_id string, ts timestamp, value double, source string")
+    starts = spark.createDataFrame([("s", T0)], "sample_id string, silence_start timestamp")
+    samples = spark.createDataFrame([("s", "s.pcm")], "sample_id string, audio_path string")
+    none = spark.createDataFrame([], S.COLLECTED)
+    own = S.from_source(metrics, "stt")
+    assert S.sample_results(samples, none, own, starts).first().ttfb == 0.5 and S.sample_results(samples, none, own).first().ttfb == 0.9
+    assert rows(S.from_source(metrics, "vad").select("value")) == [(0.7,)]
+
+
+def test_fixed_silence(spark):
+    df = spark.createDataFrame(at("s", 0, (0.05, "a"), (0.2, "lost")), SCHEMA)
+    starts = spark.createDataFrame([("s", T0)], "sample_id string, silence_start timestamp")
+    assert S.collect_segments(df, starts, cap=S.FALLBACK).first().transcription == "a"
+
+
+def test_a_batch_costs_what_it_holds_and_compaction_keeps_the_result(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = S.sink_append(path, ["k"], ["n"])
+    for epoch, data in enumerate([[("a", 2)], [("a", 1), ("b", 1)], [("a", 2), ("c", 5)]]):
+        write(spark.createDataFrame(data, "k string, n int"), epoch)
+    assert rows(spark.read.parquet(f"{path}/epoch=1")) == [("a", 1), ("b", 1)]
+    assert rows(S.read_sink(spark, path)) == [("a", 2), ("b", 1), ("c", 5)]
+    S.compact_sink(spark, path)
+    assert rows(S.read_sink(spark, path)) == [("a", 2), ("b", 1), ("c", 5)] and len(list((tmp_path / "t").glob("epoch=*"))) == 1
