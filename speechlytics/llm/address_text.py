@@ -90,7 +90,8 @@ _SPELT = re.compile(
     ) + r")\b\.?"
 )
 _STATE_OF = {n.replace(" ", ""): s for s, n in STATES.items()} | {s: s for s in STATES}
-_TOKEN = re.compile(r"[a-z]+|\d+|[/,;#]|§")
+_RANGE = re.compile(r"(\d+[a-h]?)\s*[-\u2013\u2014]\s*(\d+[a-h]?)\b")
+_TOKEN = re.compile(r"\d+[a-h]?~\d+[a-h]?|[a-z]+|\d+|[/,;#]|§")
 
 
 class Parts(NamedTuple):
@@ -164,9 +165,36 @@ def _tokens(text: str) -> tuple[list[str], str | None]:
 
     text = _SPELT.sub(found, text)
     text = re.sub(r"\bthe street is\b", " , § ", text)
-    text = re.sub(r"\bslash\b", "/", text)
+    text = _RANGE.sub(r"\1~\2", re.sub(r"\bslash\b", "/", text))
     text = re.sub(r"\b(?:that is in|postcode|number|in)\b", r" , \g<0> ", text)
-    return _spoken([t for t in _TOKEN.findall(text.replace("'", ""))]), state
+    return _ranges(_spoken(_TOKEN.findall(text.replace("'", "")))), state
+
+
+def _ranges(tokens: list[str]) -> list[str]:
+    """"12 to 14" and "12~14" to one token "12-14"."""
+    out: list[str] = []
+    for k, t in enumerate(tokens):
+        if t.isdigit() and len(out) > 1 and out[-1] == "to" and out[-2].isdigit():
+            out[-2:] = [f"{out[-2]}-{t}"]
+        else:
+            out.append(t.replace("~", "-"))
+    return out
+
+
+def _is_house(tokens: list[str], k: int, words_before: bool) -> bool:
+    """Whether the four digits at ``k`` are a house number: they lead a street's name, and no other number follows it."""
+    rest = tokens[k + 1 :]
+    stop = next((j for j, t in enumerate(rest) if t in ",;§"), len(rest))
+    piece = rest[:stop]
+    typed = next((j for j, t in enumerate(piece) if j and t in _TYPE), None)
+    if words_before or typed is None or not piece[0].isalpha() or piece[0] in _NOISE:
+        return False
+    return not any(t.isdigit() and len(t) < 4 for t in piece[typed:])
+
+
+def street_name(words: list[str]) -> str | None:
+    """A street's name of one or more words, without spaces; of several, affixes are written out."""
+    return "".join(words) or None if len(words) < 2 else squeeze(words)
 
 
 def squeeze(words: list[str]) -> str | None:
@@ -183,7 +211,7 @@ def parse_text(text: str | None) -> Parts:
     numbers: list[tuple[int, str]] = []
     pieces: list[list] = [[]]  # by comma: words, with street types marked
     k, expect_unit, ahead = 0, False, None
-    street_next = False
+    street_next, said = False, ""
     while k < len(tokens):
         t = tokens[k]
         after = tokens[k + 1] if k + 1 < len(tokens) else ""
@@ -205,17 +233,25 @@ def parse_text(text: str | None) -> Parts:
                 letter, k = after, k + 1
             if expect_unit and unit is None:
                 unit, expect_unit = t + letter, False
-            elif len(t) == 4 and not letter:
+            elif len(t) == 4 and not letter and not _is_house(tokens, k, any(kd == "word" for kd, _ in pieces[-1])):
                 postcode = t
             else:
                 numbers.append((len(pieces), t + letter))
                 pieces[-1].append(("number", t + letter))
+        elif t[0].isdigit():  # a range
+            numbers.append((len(pieces), t))
+            pieces[-1].append(("number", t))
+        elif t in _TYPE and pieces[-1] and pieces[-1][-1][0] == "type" and len(pieces[-1]) > 1:
+            pieces[-1][-1] = ("word", said)  # "Kings Court Road": the last one is the type
+            pieces[-1].append(("type", _TYPE[t]))
+            said = t
         elif t in _NUMBER and (after.isdigit() or after in (",", "#") or after in _UNIT):
             pass
         elif t in _TYPE and pieces[-1] and pieces[-1][-1][0] == "word" and not (
             t in ("st",) and pieces[-1][-1][1] in FRONT
         ):
             pieces[-1].append(("type", _TYPE[t]))
+            said = t
         elif t in _NOISE:
             pass
         elif len(t) == 1 and t not in "/":
@@ -245,10 +281,7 @@ def parse_text(text: str | None) -> Parts:
                 words.append(value)
             elif kd == "type" and words:
                 if street is None:
-                    street, kind = words[-1], value
-                    front = words[:-1]
-                    if front and not suburb_words:
-                        suburb_words = front
+                    street, kind = street_name(words), value
                 words = []
                 after_number = False
         if words:
@@ -286,6 +319,6 @@ def parse_fields(fields: dict | None) -> Parts:
     n = parse_text(f"{lead} xqx street") if lead else Parts()
     s = parse_text(f"1 xqx street, {suburb}, {state} {postcode}")
     street_words = [w for w in _TOKEN.findall(street.lower()) if w.isalpha()]
-    name = "".join(street_words) if len(street_words) < 2 else squeeze(street_words)
+    name = street_name(street_words)
     marks = _TOKEN.findall(kind.lower())
     return Parts(n.unit, n.number, name or None, _TYPE.get(marks[0]) if marks else None, s.suburb, s.state, s.postcode)

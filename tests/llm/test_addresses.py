@@ -95,3 +95,61 @@ def test_spellings_follow_the_dominating_one(spark):
     got = {(r.place, r.name): r.root for r in A.cluster_spellings(spark.createDataFrame(names, "place string, name string, n long")).collect()}
     assert got["p", "momkver"] == got["p", "mokmaver"] == "momkaver" and got["q", "momkver"] == "momkver"
     assert got["p", "tanlibu"] == "tanlibu"  # two streets that are both common stay apart
+
+
+@pytest.mark.parametrize(
+    ("text", "parts"),
+    [
+        ("12 Old Mill Road, Richmond", (None, "12", "oldmill", "road", "richmond", None, None)),
+        ("12-14 High Street, Kew", (None, "12-14", "high", "street", "kew", None, None)),
+        ("1204 Pacific Highway, Pymble 2073", (None, "1204", "pacific", "highway", "pymble", None, "2073")),
+        ("5 Martin Luther King Drive, Parkes", (None, "5", "martinlutherking", "drive", "parkes", None, None)),
+        ("12 St Kilda Road, Melbourne VIC 3000", (None, "12", "saintkilda", "road", "melbourne", "vic", "3000")),
+        ("3 Kings Court Road, Kew", (None, "3", "kingscourt", "road", "kew", None, None)),
+        ("hulpibourne wa 5380 momvesham street 5", (None, "5", "momvesham", "street", "hulpibourne", "wa", "5380")),
+    ],
+)
+def test_names_of_several_words_ranges_and_long_numbers(text, parts):
+    assert parse_text(text) == Parts(*parts)
+
+
+def test_fields_and_text_read_alike():
+    fields = {"number": "12", "street": "Old Mill", "type": "Rd", "suburb": "Richmond"}
+    assert parse_fields(fields) == parse_text("12 Old Mill Road, Richmond")
+    assert parse_fields({"number": "1204", "street": "Pacific", "type": "Hwy"})[1:4] == ("1204", "pacific", "highway")
+
+
+def paired(spark, texts):
+    """The pairs found among addresses (id, transcript), one mention each or more."""
+    ids = spark.createDataFrame([(i, None) for i in sorted({i for i, _ in texts})], f"id string, expected {EXPECTED}")
+    heard = spark.createDataFrame(texts, "id string, transcript string")
+    return {tuple(r) for r in A.same_place(A.resolve(ids, heard)).collect()}
+
+
+def test_short_names_one_letter_apart_stay_two_streets(spark):
+    assert paired(spark, [("a", "1 Hall Street, Kew 3101"), ("b", "2 Hill Street, Kew 3101"), ("c", "1 hall st, kew 3101")]) == {("a", "c")}
+    # In one house, or at one address, they are one street.
+    assert paired(spark, [("a", "1 Hall Street, Kew 3101"), ("b", "1 Hill Street, Kew 3101")]) == {("a", "b")}
+
+
+def test_another_suburb_is_another_place(spark):
+    texts = [("a", "7 Elmwood Road, Richmond 3121"), ("b", "7 Elmwood Rd, Burnley 3121"), ("c", "7 elmwood road, burnley, vic 3121")]
+    assert paired(spark, texts) == {("b", "c")}
+    assert paired(spark, [*texts[1:], ("d", "7 Elmwood Road 3121"), ("e", "7 Elmwood Road, Burnly 3121")]) == {(x, y) for x in "bcd" for y in "cde" if x < y}
+
+
+def test_a_mistyped_postcode_gives_way_to_the_suburb(spark):
+    texts = [(f"a{k}", f"{k + 3} Elmwood Road, Richmond 3121") for k in range(4)]
+    assert paired(spark, [*texts, ("b", "3 Elmwood Road, Richmond 3112")]) == {("a0", "b")}
+    assert paired(spark, [*texts, ("b", "3 Elmwood Road, Richmond 2753")]) == set()  # another Richmond
+
+
+def test_no_place_is_guessed_from_a_street_alone(spark):
+    assert paired(spark, [("a", "3 Elmwood Road, Richmond 3121"), ("b", "3 Elmwood Road")]) == set()
+    assert paired(spark, [("a", "3 Elmwood Road, Richmond 3121"), ("b", "3 Elmwood Road, Richmnd")]) == {("a", "b")}
+
+
+def test_chains_of_slips_end_in_one_root(spark):
+    names = [("p", "abcdefghijklm"[: 7 + k], 4 ** (6 - k)) for k in range(6)]
+    got = {r.name: r.root for r in A.cluster_spellings(spark.createDataFrame(names, "place string, name string, n long")).collect()}
+    assert set(got.values()) == {"abcdefg"}
