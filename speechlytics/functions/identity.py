@@ -1,7 +1,7 @@
-"""Column functions for identity details: pandas functions over ``speechlytics.functions.spoken``, and built-ins.
+"""Column functions for identity details: what was said, as numbers, letters, names, e-mail addresses, dates, addresses.
 
-Python is used only where no built-in expresses a reading. NULL in gives NULL out. Equal argument pairs within a batch
-are read once.
+All are expressions of built-in functions, but for three Arrow functions: number words to digits, which looks ahead over several
+words, and the similarities of strings. NULL in gives NULL out.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,112 +19,328 @@ from speechlytics.functions import spoken
 ADDRESS_PARTS = ("unit", "number", "unit_order", "street", "type", "suburb", "state", "postcode", "all")
 
 
-def _text_function(read: Callable, returns: str) -> Callable:
-    def apply(*columns: pd.Series) -> pd.Series:
-        known: dict[tuple, object] = {}
-        out = []
-        for args in zip(*columns, strict=True):
-            if any(a is None for a in args):
-                out.append(None)
-                continue
-            if args not in known:
-                known[args] = read(*args)
-            out.append(known[args])
-        return pd.Series(out, dtype=object)
+PARTS = ("unit", "number", "street", "type", "suburb", "state", "postcode")
 
-    # The number of arguments must be seen from the signature.
-    if read.__code__.co_argcount == 1:
-        one = lambda a: apply(a)
-        one.__annotations__ = {"a": pd.Series, "return": pd.Series}
-        return F.pandas_udf(one, returns)
-    two = lambda a, b: apply(a, b)
-    two.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(two, returns)
 
+def _mapped(words: Column, table: dict[str, str], otherwise: Callable[[Column], Column] = lambda w: w) -> Column:
+    """The words of an array with those of a small table replaced."""
+    known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), otherwise(w)))
 
-def _rows_function(read: Callable, fields: str) -> Callable:
-    """As above, for readings that are a dict: gives a struct."""
-    names = [f.split()[0] for f in fields.split(", ")]
 
-    def apply(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        nothing = dict.fromkeys(names)
-        rows = [nothing | read(x, y) if x is not None and y is not None else nothing for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
+def words(text: Column, breaks: bool = False) -> Column:
+    """Lower-case runs of letters or digits; with ``breaks``, a "," wherever , / ; or . stands between them."""
+    found = F.regexp_extract_all(F.replace(F.lower(text), F.lit("'"), F.lit("")), F.lit("[a-z]+|[0-9]+" + ("|[,/;.]" if breaks else "")), F.lit(0))
+    return F.transform(found, lambda w: F.when(w.rlike("^[/;.]$"), F.lit(",")).otherwise(w)) if breaks else found
 
-    apply.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(apply, fields)
+
+@functools.cache
+def _digits() -> Callable:
+    def read(rows: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}  # equal texts of a batch are read once
+        for t in rows:
+            if t is not None and t not in known:
+                known[t] = " ".join(spoken.numbers_to_digits(t.split()))
+        return pd.Series([known.get(t) for t in rows], dtype=object)
+
+    read.__annotations__ = {"rows": pd.Series, "return": pd.Series}
+    return F.pandas_udf(read, "string")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it refers to several times: computed once, and written once in the plan.
+
+    The body may not call the Arrow functions of this module (lambdas cannot); what they give belongs in the value.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def digit_words(tokens: Column) -> Column:
+    """An array of words with number words as digit strings; digits said one by one join, commas end such a run and vanish."""
+    return F.filter(F.split(_digits()(F.array_join(tokens, " ")), " "), lambda w: w != "")
+
+
+def digits(text: Column) -> Column:
+    return F.array_join(digit_words(words(text, True)), " ")
+
+
+def letter_runs(text: Column) -> Column:
+    """Spelled letters as a string, a space for each other word.
+
+    Words in capitals are letters; "m for mike" and "m as in mary" are m; "double x" is xx; a word that sounds like a letter is
+    one only beside another letter.
+    """
+    apart = F.regexp_replace(text, r"(?<=\b[A-Z]{1,60})(?=[A-Z]{1,60}\b)", " ")
+    line = F.array_join(words(apart), " ")
+    said = F.regexp_replace(line, r"\bdouble ([a-z])\b|\b([a-z]) (?:for|as in) [a-z0-9]+", "$1 $1 $2")
+    tokens = F.filter(F.split(said, " +"), lambda w: w != "")
+    sounds = {w: letter.upper() for w, letter in spoken.LETTERS.items()}
+    marks = _mapped(tokens, sounds, lambda w: F.when(w.rlike("^[a-z]$"), w).otherwise(F.lit(" ")))
+    return F.lower(F.regexp_replace(F.array_join(marks, ""), "(?<![A-Za-z])[A-Z](?![A-Za-z])", " "))
+
+
+def spelled(text: Column) -> Column:
+    return F.replace(letter_runs(text), F.lit(" "), F.lit(""))
 
 
 @functools.cache
-def functions() -> dict[str, Callable]:
-    """The pandas functions by name; made on first use, as they need a session."""
-    flags = "strict boolean, lenient boolean"
-    return {
-        "digits": _text_function(lambda t: " ".join(spoken.numbers_to_digits(spoken.words(t, True))), "string"),
-        "letter_runs": _text_function(spoken.letter_runs, "string"),
-        "normalise_email": _text_function(spoken.normalise_email, "string"),
-        "normalise_address": _text_function(spoken.normalise_address, "string"),
-        "jaro_winkler": _text_function(spoken.jaro_winkler, "double"),
-        "ratio": _text_function(spoken.ratio, "double"),
-        "window_sim": _text_function(spoken.window_sim, "double"),
-        "email_score": _text_function(spoken.email_score, "double"),
-        "spelled_score": _text_function(spoken.spelled_score, "double"),
-        "dob_match": _text_function(spoken.dob_match, "boolean"),
-        "parse_dob": _rows_function(
-            lambda t, _: dict(zip(("day", "month", "year"), spoken.parse_dob(t), strict=True)),
-            "day int, month int, year int",
-        ),
-        "name_score": _rows_function(
-            lambda t, r: dict(zip(("similarity", "same_sound"), spoken.name_score(t, r), strict=True)),
-            "similarity double, same_sound boolean",
-        ),
-        "check_name": _rows_function(spoken.check_name, f"{flags}, near_miss double"),
-        "check_spelled": _rows_function(spoken.check_spelled, flags),
-        "check_email": _rows_function(spoken.check_email, flags),
-        "check_dob": _rows_function(spoken.check_dob, f"{flags}, us_order boolean, parsed string"),
-    }
-
-
-def function(name: str) -> Callable[..., Column]:
-    return functions()[name]
+def _pairwise(kind: str) -> Callable:
+    """Functions of two columns over whole batches."""
+
+    def both(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None]
+        out = np.full(len(a), np.nan)
+        x, y = [a.iloc[k] for k in known], [b.iloc[k] for k in known]
+        if kind == "ratio":
+            out[known] = [spoken.best_ratio(name, tokens) for tokens, name in zip(x, y, strict=True)]
+        elif kind == "best":
+            out[known] = spoken.best_similarities(x, y)
+        elif kind == "slices":
+            slices = {(t, len(n)): None for t, n in zip(x, y, strict=True)}
+            slices = {k: spoken.slices_near(*k) for k in slices}
+            out[known] = spoken.best_similarities([slices[t, len(n)] for t, n in zip(x, y, strict=True)], y)
+        else:
+            out[known] = spoken.similarities(x, y)
+        return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+    both.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(both, "double")
+
+
+def jaro_winkler(a: Column, b: Column) -> Column:
+    """See ``spoken.similarities``."""
+    return _pairwise("pair")(a, b)
+
+
+def best_similarity(options: Column, name: Column) -> Column:
+    """The best similarity of a name to any string of an array."""
+    return _pairwise("best")(options, name)
+
+
+def window_sim(text: Column, target: Column) -> Column:
+    """The best similarity of a target to a slice of a text at most two characters shorter or longer."""
+    return _pairwise("slices")(text, target)
+
+
+def _known(*columns: Column) -> Column:
+    return functools.reduce(lambda x, y: x & y, (c.isNotNull() for c in columns))
+
+
+def _flags(known: Column, **flags: Column) -> Column:
+    """A struct of results, each NULL where an argument is."""
+    return F.struct(*(F.when(known, c).alias(n) for n, c in flags.items()))
+
+
+def check_name(transcript: Column, expected: Column) -> Column:
+    """strict: a word is the name; lenient: the name stands in the joined or the spelled letters; near_miss: best ratio."""
+    name, tokens = norm_name(expected), name_tokens(transcript)
+    given = F.struct(
+        name.alias("name"), tokens.alias("tokens"), spelled(transcript).alias("letters"), _pairwise("ratio")(tokens, name).alias("near")
+    )
+
+    def read(v: Column) -> Column:
+        strict = F.array_contains(v["tokens"], v["name"])
+        lenient = strict | F.contains(F.array_join(v["tokens"], ""), v["name"]) | F.contains(v["letters"], v["name"])
+        return _flags(_known(v["name"], v["tokens"]), strict=strict, lenient=lenient, near_miss=v["near"])
+
+    return _let(given, read)
+
+
+def check_spelled(transcript: Column, expected: Column) -> Column:
+    """strict: a word is the name, or it stands both in the text's letters and in the spelled ones; lenient: in either."""
+    tokens = F.transform(F.filter(F.split(transcript, r"(?U)\s+"), lambda w: w != ""), norm_name)
+    given = F.struct(
+        norm_name(expected).alias("name"), tokens.alias("tokens"), norm_name(transcript).alias("text"), spelled(transcript).alias("letters")
+    )
+
+    def read(v: Column) -> Column:
+        in_text, in_runs = F.contains(v["text"], v["name"]), F.contains(v["letters"], v["name"])
+        strict = F.array_contains(v["tokens"], v["name"]) | (in_text & in_runs)
+        return _flags(_known(v["name"], v["text"]), strict=strict, lenient=in_text | in_runs)
+
+    return _let(given, read)
+
+
+def normalise_email(text: Column) -> Column:
+    """A spoken e-mail address as one string."""
+    line = F.regexp_replace(F.replace(F.lower(text), F.lit("full stop"), F.lit("dot")), r"\.(?=\S)", " dot ")
+    line = F.replace(F.replace(line, F.lit("@"), F.lit(" at ")), F.lit("_"), F.lit(" underscore "))
+    table = spoken.EMAIL_SIGNS | {sound: spoken.LETTERS[sound] for sound in spoken.EMAIL_LETTERS}
+    return F.array_join(_mapped(digit_words(words(line)), table), "")
+
+
+def check_email(transcript: Column, expected: Column) -> Column:
+    """strict: the address stands in the text without its white space; lenient: or in what was said of it."""
+    wanted = F.lower(expected)
+    strict = F.contains(F.regexp_replace(F.lower(transcript), r"(?U)\s+", ""), wanted)
+    return _flags(_known(transcript, expected), strict=strict, lenient=strict | F.contains(normalise_email(transcript), wanted))
+
+
+def full_year(year: Column) -> Column:
+    """Two digits over 30 are of the last century."""
+    return F.when(year >= 100, year).otherwise(year + F.when(year > 30, 1900).otherwise(2000)).cast("int")
+
+
+def _number(digits: Column) -> Column:
+    return F.when(F.length(digits) <= 9, digits.try_cast("int"))
 
 
 def parse_dob(text: Column) -> Column:
-    return function("parse_dob")(text, text)
+    """(day, month, year), day first; parts that are not said are NULL, as are numbers of more than nine digits."""
+    low = F.lower(text)
+    written = F.regexp_extract_all(low, F.lit(r"([0-9]{1,2})\s*[/.-]\s*([0-9]{1,2})\s*[/.-]\s*([0-9]{2,4})"), F.lit(0))
+    tokens = digit_words(_mapped(words(low, True), spoken.ORDINALS))
+    given = F.struct(F.try_element_at(written, F.lit(1)).alias("written"), tokens.alias("tokens"))
+    return F.when(text.isNotNull(), _let(given, _read_date))
+
+
+def _read_date(v: Column) -> Column:
+    months = F.create_map(*(F.lit(x) for pair in spoken.MONTHS.items() for x in pair))
+    named = F.filter(F.transform(v["tokens"], lambda w: F.try_element_at(months, w)), lambda m: m.isNotNull())
+
+    def joined(found: Column, token: Column) -> Column:  # "nineteen eighty-five"
+        last = F.try_element_at(found, F.lit(-1))
+        century = last.isin("19", "20") & (F.length(token) == 2)
+        whole = F.concat(F.slice(found, 1, F.greatest(F.lit(0), F.size(found) - 1)), F.array(F.concat(last, token)))
+        return F.when(century, whole).otherwise(F.concat(found, F.array(token)))
+
+    numbers = F.aggregate(F.filter(v["tokens"], lambda w: w.rlike("^[0-9]+$")), F.array().cast("array<string>"), joined)
+    parts = F.regexp_extract_all(v["written"], F.lit("[0-9]+"), F.lit(0))
+    return _let(
+        F.struct(parts.alias("written"), F.try_element_at(named, F.lit(1)).alias("month"), numbers.alias("numbers")), _order_parts
+    )
 
 
-@functools.cache
-def _address_function(kind: str) -> Callable:
-    keys = ["unit", "number", "street", "type", "suburb", "state", "postcode"]
-    if kind == "check":
-        fields = ", ".join(f"`{p}` boolean" for p in ADDRESS_PARTS)
-    else:
-        fields = "numbers_exact boolean, similarity double"
-
-    def apply(text: pd.Series, address: pd.DataFrame) -> pd.DataFrame:
-        names = list(ADDRESS_PARTS) if kind == "check" else ["numbers_exact", "similarity"]
-        rows = []
-        for t, record in zip(text, address[keys].to_dict("records"), strict=True):
-            record = {k: v for k, v in record.items() if isinstance(v, str)}
-            if t is None or not record:
-                rows.append(dict.fromkeys(names))
-            elif kind == "check":
-                rows.append(dict.fromkeys(names) | spoken.check_address(t, record))
-            else:
-                rows.append(dict(zip(names, spoken.address_score(t, record), strict=True)))
-        return pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
-
-    apply.__annotations__ = {"text": pd.Series, "address": pd.DataFrame, "return": pd.DataFrame}
-    return F.pandas_udf(apply, fields)
+def _order_parts(v: Column) -> Column:
+    numbers, month = v["numbers"], v["month"]
+    at = lambda k: F.try_element_at(numbers, F.lit(k))
+    first_day = _number(F.try_element_at(F.filter(numbers, lambda w: (F.length(w) <= 2) & _number(w).between(1, 31)), F.lit(1)))
+
+    def with_month(day: Column) -> Column:  # the year is the last number that is not the day
+        others = F.filter(numbers, lambda w: day.isNull() | (F.length(w) > 2) | (_number(w) != day))
+        return _date(day, month, _number(F.try_element_at(others, F.lit(-1))))
+
+    cut = lambda start, n=9: _number(F.substring(at(1), start, n))
+    size, one = F.size(numbers), F.length(at(1))
+    return (
+        F.when(v["written"].isNotNull(), _date(*(_number(F.try_element_at(v["written"], F.lit(k))) for k in (1, 2, 3))))
+        .when(month.isNotNull(), _let(first_day, with_month))
+        .when(size >= 3, _date(*(_number(at(k)) for k in (1, 2, 3))))
+        .when((size == 1) & one.isin(6, 8), _date(cut(1, 2), cut(3, 2), cut(5)))
+        .when((size == 2) & (one == 4), _date(cut(1, 2), cut(3, 2), _number(at(2))))
+        .otherwise(_date(*(F.lit(None).cast("int"),) * 3))
+    )
+
+
+def _date(day: Column, month: Column, year: Column) -> Column:
+    return F.struct(day.alias("day"), month.alias("month"), full_year(year).alias("year"))
+
+
+def check_dob(transcript: Column, expected: Column) -> Column:
+    """``expected`` is yyyy-mm-dd. A month-first reading is recoverable only when the day cannot be a month."""
+    wanted = (F.split_part(expected, F.lit("-"), F.lit(k)).try_cast("int").alias(n) for k, n in ((1, "y"), (2, "m"), (3, "d")))
+
+    def read(v: Column) -> Column:
+        got, year, month, day = v["got"], v["y"], v["m"], v["d"]
+        same = lambda *parts: functools.reduce(
+            lambda x, y: x & y, (got[n].eqNullSafe(p) for n, p in zip(("day", "month", "year"), parts, strict=True))
+        )
+        strict = same(day, month, year)
+        swapped = same(month, day, year) & ~strict
+        shown = F.concat_ws("-", *(F.coalesce(got[n].cast("string"), F.lit("?")) for n in ("day", "month", "year")))
+        known = got.isNotNull() & v["d"].isNotNull()
+        return _flags(known, strict=strict, lenient=strict | (swapped & (day > 12)), us_order=swapped, parsed=shown)
+
+    return _let(F.struct(parse_dob(transcript).alias("got"), *wanted), read)
+
+
+def dob_match(transcript: Column, expected: Column) -> Column:
+    return check_dob(transcript, expected)["lenient"]
+
+
+def normalise_address(text: Column) -> Column:
+    """Digits for number words, codes for states, street types written out; padded with spaces."""
+    line = F.concat(F.lit(" "), F.array_join(digit_words(words(text, True)), " "), F.lit(" "))
+    for name, code in spoken.STATE_NAMES.items():  # the order counts: longer names before their parts
+        line = F.replace(line, F.lit(f" {name} "), F.lit(f" {code} "))
+    tokens = F.filter(F.split(line, " "), lambda w: w != "")
+    return F.concat(F.lit(" "), F.array_join(_mapped(tokens, spoken.STREET_SHORT), " "), F.lit(" "))
+
+
+def _address_words(line: Column) -> tuple[Column, Column]:
+    """The numbers and the other words of a normalised address."""
+    tokens = F.filter(F.split(line, " "), lambda w: w != "")
+    return F.filter(tokens, lambda w: w.rlike("^[0-9]+$")), F.filter(tokens, lambda w: ~w.rlike("^[0-9]+$"))
+
+
+def _in_order(numbers: Column, unit: Column, number: Column) -> Column:
+    """Whether the number is the next one after the unit's first mention."""
+    at = F.array_position(numbers, unit)
+    return F.coalesce((at > 0) & (F.try_element_at(numbers, (at + 1).cast("int")) == number), F.lit(False))
+
+
+def _part(address: Column, name: str) -> Column:
+    return F.coalesce(address[name], F.lit(""))
+
+
+def _any_part(address: Column) -> Column:
+    return F.coalesce(*(address[p] for p in PARTS)).isNotNull()
 
 
 def check_address(transcript: Column, address: Column) -> Column:
-    """Struct of flags for the parts of an address struct; NULL where there is no transcript or no part is known."""
-    return _address_function("check")(transcript, address)
+    """Struct of flags for the parts of an address struct that were heard; NULL where there is no transcript or no part is
+    known. unit and unit_order only where a unit is expected; ``all`` of the others."""
+    known = transcript.isNotNull() & _any_part(address)
+    given = F.struct(normalise_address(transcript).alias("line"), known.alias("known"), *(_part(address, n).alias(n) for n in PARTS))
+
+    def read(v: Column) -> Column:
+        numbers = v["numbers"]
+        with_unit = v["known"] & (v["unit"] != "")
+        heard = {n: F.contains(v["line"], F.concat(F.lit(" "), F.lower(v[n]), F.lit(" "))) for n in ("street", "type", "suburb", "state")}
+        parts = {
+            "unit": F.when(with_unit, F.array_contains(numbers, v["unit"])), "number": F.array_contains(numbers, v["number"]),
+            "unit_order": F.when(with_unit, _in_order(numbers, v["unit"], v["number"])), **heard,
+            "postcode": F.array_contains(numbers, v["postcode"]) | F.contains(F.array_join(numbers, ""), v["postcode"]),
+        }
+        return F.struct(v["known"].alias("known"), *(c.alias(n) for n, c in parts.items()))
+
+    def all_of(v: Column) -> Column:
+        every = functools.reduce(lambda x, y: x & y, (F.coalesce(v[n], F.lit(True)) for n in ADDRESS_PARTS if n != "all"))
+        return _flags(v["known"], **{n: v[n] for n in ADDRESS_PARTS if n != "all"}, all=every)
+
+    def numbered(v: Column) -> Column:
+        return F.struct(*(v[n].alias(n) for n in ("line", "known", *PARTS)), _address_words(v["line"])[0].alias("numbers"))
+
+    return _let(_let(_let(given, numbered), read), all_of)
 
 
 def address_score(transcript: Column, address: Column) -> Column:
-    return _address_function("score")(transcript, address)
+    """(numbers_exact, similarity): whether all numbers are exact, and the lesser similarity of street and suburb to words or pairs of words."""
+    numbers, names = _address_words(normalise_address(transcript))
+    p = {n: _part(address, n) for n in PARTS}
+    exact = F.array_contains(numbers, p["number"]) & (
+        F.array_contains(numbers, p["postcode"]) | F.contains(F.array_join(numbers, ""), p["postcode"])
+    )
+    exact = exact & F.when(p["unit"] != "", _in_order(numbers, p["unit"], p["number"])).otherwise(True)
+    options = with_pairs(names)
+    # Without any word there is nothing to compare.
+    best = lambda n: F.when(F.size(options) > 0, best_similarity(options, norm_name(p[n]))).otherwise(0.0)
+    return _flags(transcript.isNotNull() & _any_part(address), numbers_exact=exact, similarity=F.least(best("street"), best("suburb")))
+
+
+def name_score(transcript: Column, record: Column) -> Column:
+    """(similarity, same_sound): the best similarity of a candidate, and whether one of more than a letter sounds the same."""
+    options, code = name_candidates(transcript), soundex(record)
+    sounds = F.exists(options, lambda c: (F.length(c) > 1) & (soundex(c) == code))
+    return _flags(_known(transcript, record), similarity=best_similarity(options, norm_name(record)), same_sound=sounds)
+
+
+def email_score(transcript: Column, record: Column) -> Column:
+    return window_sim(normalise_email(transcript), F.lower(record))
+
+
+def spelled_score(transcript: Column, record: Column) -> Column:
+    return window_sim(spelled(transcript), norm_name(record))
 
 
 def norm_name(name: Column) -> Column:
@@ -136,14 +353,21 @@ def soundex(name: Column) -> Column:
     return F.when(plain == "", F.lit("")).otherwise(F.soundex(plain))
 
 
+def name_tokens(transcript: Column) -> Column:
+    """The words of a text as names: letters only, those without any left out."""
+    return F.filter(F.transform(F.split(transcript, r"(?U)[\s,.;:!?]+"), norm_name), lambda t: t != "")
+
+
+def with_pairs(tokens: Column) -> Column:
+    """Words, and adjacent ones joined, as a name may be split."""
+    following = F.slice(tokens, 2, F.greatest(F.lit(1), F.size(tokens)))
+    joined = F.filter(F.zip_with(tokens, following, lambda a, b: F.concat(a, b)), lambda t: t.isNotNull())
+    return F.concat(tokens, joined)
+
+
 def name_candidates(transcript: Column) -> Column:
     """Words of a transcript and pairs of adjacent ones joined."""
-    tokens = F.filter(F.transform(F.split(transcript, r"[\s,.;:!?]+"), norm_name), lambda t: t != "")
-    pairs = F.transform(
-        F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.concat(F.element_at(tokens, i), F.element_at(tokens, i + 1)),
-    )
-    return F.concat(tokens, pairs)
+    return with_pairs(name_tokens(transcript))
 
 
 def stable_uuid(*parts: Column) -> Column:

@@ -106,23 +106,21 @@ def align_lines(found: list[str], wanted: list[str], least: float = 0.5) -> list
     same, passing over a wanted line goes before passing over a found one, and that before a match.
     """
     n, m = len(found), len(wanted)
+    likeness = np.array([[SequenceMatcher(None, f, w).ratio() for w in wanted] for f in found]).reshape(n, m)
+    gain = np.where(likeness >= least, likeness + 1e-4 * np.arange(1, n + 1)[:, None], -np.inf)
     score = np.zeros((n + 1, m + 1))
-    step = np.full((n + 1, m + 1), "", dtype=object)
-    step[1:, 0], step[0, 1:] = "found", "wanted"
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            choices = [(score[i, j - 1], "wanted"), (score[i - 1, j], "found")]
-            likeness = SequenceMatcher(None, found[i - 1], wanted[j - 1]).ratio()
-            if likeness >= least:
-                choices.append((score[i - 1, j - 1] + likeness + 1e-4 * i, "both"))
-            score[i, j], step[i, j] = max(choices, key=lambda c: c[0])
+    for i in range(n):  # a row at once: from above, or by a match, or carried on from the left
+        score[i + 1, 1:] = np.maximum(score[i, 1:], score[i, :-1] + gain[i])
+        score[i + 1] = np.maximum.accumulate(score[i + 1])
     result: list[int | None] = [None] * m
     i, j = n, m
-    while i or j:
-        taken = step[i, j]
-        i -= taken != "wanted"
-        j -= taken != "found"
-        if taken == "both":
+    while i and j:
+        if score[i, j] == score[i, j - 1]:
+            j -= 1
+        elif score[i, j] == score[i - 1, j]:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
             result[j] = i
     return result
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechlytics.functions.wording import count_words, errors_valid, invented_insertions, weighted_count, word_error_rate
-from speechlytics.operators.stats import order_statistics, pooled
+from speechlytics.operators.stats import beside, order_statistics, pooled
 from speechlytics.operators.store import latest
 
 BOOTSTRAPS = 2000
@@ -97,33 +102,89 @@ def first_of_each(rows: DataFrame, by: str, order: list[str], count: int) -> Dat
     return ranked.filter(F.col("__k") <= count).drop("__k")
 
 
-def poisson_weight(key: Column, draw: Column) -> Column:
-    """How often a row is drawn in one bootstrap: Poisson with mean 1 from an md5, the same in every engine.
+#: A prime, and the fixed values of the cumulative probabilities of 0, 1, 2, ... draws (Poisson with mean 1) in units of 1 / PRIME.
+PRIME = 2147483647
+ENDS = (790015083, 1580030167, 1975037709, 2106706890, 2139624185, 2146207644, 2147304887, 2147461637, 2147481230, 2147483407, 2147483625, 2147483645)
+
+
+def key_hash(key: Column) -> Column:
+    """A number below PRIME from an md5 of the key, the same in every engine."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("bigint") % F.lit(PRIME)
+
+
+def draw_factors(draws: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each draw the factor and the offset that turn a key's hash into its place between 0 and PRIME."""
+    of = lambda name, k: int(hashlib.md5(f"{name}:{k}".encode()).hexdigest()[:7], 16)
+    return (
+        np.array([1 + of("a", k) for k in range(draws)], np.int64), np.array([of("b", k) for k in range(draws)], np.int64)
+    )
 
-    The fixed values are the cumulative probabilities of 0, 1, 2, ... draws in units of 1 / 16^7.
-    """
-    digest = F.substring(F.md5(F.concat_ws(":", draw.cast("string"), key.cast("string"))), 1, 7)
-    u = F.conv(digest, 16, 10).cast("bigint")
-    ends = (98751886, 197503772, 246879715, 263338363, 267453025, 268275957, 268413113, 268432706, 268435156, 268435428)
-    return sum(((u >= e).cast("int") for e in ends), F.lit(0))
+
+def poisson_weights(hashes: np.ndarray, draws: int) -> np.ndarray:
+    """How often each row is drawn in each bootstrap: rows x draws."""
+    factor, offset = draw_factors(draws)
+    return np.searchsorted(np.array(ENDS), (hashes[:, None] * factor + offset) % PRIME, side="right")
+
+
+#: Rows weighed at once, and groups whose sums a task holds before it hands them on; they bound memory, not what is summed.
+WEIGHED, HELD_GROUPS = 512, 256
+
+
+def _weighted_sums(groups: list[str], draws: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def given() -> pa.RecordBatch:
+            keys = list(held)
+            n = len(keys)
+            columns = [pa.array([k[c] for k in keys], t).take(pa.array(np.repeat(np.arange(n), draws))) for c, t in enumerate(kinds)]
+            sums = np.stack(list(held.values())).transpose(1, 0, 2).reshape(2, -1)
+            return pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.tile(np.arange(draws, dtype=np.int32), n)), pa.array(sums[0]), pa.array(sums[1])],
+                names=[*groups, "draw", "w", "wx"],
+            )
+
+        kinds: list = []
+        for batch in batches:
+            kinds = [batch[g].type for g in groups]
+            keys = list(zip(*(batch[g].to_pylist() for g in groups), strict=True)) if groups else [()] * len(batch)
+            number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            names, of = list(number), np.array([number[k] for k in keys], np.int64)
+            order = np.argsort(of, kind="stable")
+            h, x = (batch[c].to_numpy(zero_copy_only=False)[order] for c in ("__h", "__x"))
+            of = of[order]
+            for low in range(0, len(of), WEIGHED):
+                part = of[low : low + WEIGHED]
+                w = poisson_weights(h[low : low + WEIGHED], draws)
+                starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                sums = np.stack([np.add.reduceat(w, starts), np.add.reduceat(w * x[low : low + WEIGHED, None], starts)], 1)
+                for g, total in zip(part[starts], sums, strict=True):
+                    held[names[g]] = held[names[g]] + total if names[g] in held else total.astype(float)
+                if len(held) > HELD_GROUPS:
+                    yield given()
+                    held.clear()
+        if held:
+            yield given()
+
+    return run
 
 
 def bootstrap_mean(rows: DataFrame, key: str, value: str, groups: list[str], draws: int = BOOTSTRAPS) -> DataFrame:
     """Per group: n, mean, and the 95 % interval of the mean by ``draws`` resamplings (low, high).
 
-    Resampling is by independent Poisson weights, which need no n and combine across partitions: each row sends its
-    weights to sums by (group, draw), which are combined on the map side; the interval is read off the draws' means.
+    Resampling is by Poisson weights, which need no n and combine across partitions: each task adds its rows to one
+    vector of ``draws`` sums a group, the vectors are added up, and the interval is read off the draws' means. Rows with a
+    NULL key or value are left out.
     """
-    held = rows.filter(F.col(value).isNotNull())
-    each = held.select(*groups, key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    weighted = each.withColumn("w", poisson_weight(F.col(key), F.col("draw"))).filter("w > 0")
-    means = weighted.groupBy(*groups, "draw").agg(
-        (F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m")
-    )
+    held = rows.filter(F.col(value).isNotNull() & F.col(key).isNotNull())
+    slim = held.select(*groups, key_hash(F.col(key)).alias("__h"), F.col(value).cast("double").alias("__x"))
+    kinds = "".join(f"`{g}` {held.schema[g].dataType.simpleString()}, " for g in groups)
+    sums = slim.mapInArrow(_weighted_sums(groups, draws), f"{kinds}draw int, w double, wx double")
+    means = sums.groupBy(*groups, "draw").agg((F.sum("wx") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     at = {"low": "floor(0.025D * n)", "high": "floor(0.975D * n) - 1"}
     ends = order_statistics(means, groups, "m", at).drop("n")
     base = held.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    return base.join(ends, groups, "left")
+    return beside(base, ends, groups)
 
 
 def impact(pairs: DataFrame, group: str) -> DataFrame:
@@ -148,6 +209,16 @@ def service_gaps(pairs: DataFrame, neighbours: DataFrame) -> DataFrame:
     return gaps.groupBy("service_name", "next_service").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("b") - F.col("a")).alias("gap"))
 
 
+def gap_intervals(pairs: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """``service_gaps`` with the 95 % interval of each gap (low, high), the samples resampled."""
+    a = pairs.select("service_name", "sample_id", F.col("new_wer").alias("a")).join(
+        neighbours.select("service_name", "next_service").filter(F.col("next_service").isNotNull()), "service_name"
+    )
+    b = pairs.select(F.col("service_name").alias("next_service"), "sample_id", F.col("new_wer").alias("b"))
+    gaps = a.join(b, ["next_service", "sample_id"]).withColumn("gap", F.col("b") - F.col("a"))
+    return bootstrap_mean(gaps, "sample_id", "gap", ["service_name", "next_service"]).withColumnRenamed("mean", "gap")
+
+
 def disagreements(pairs: DataFrame, count: int) -> DataFrame:
     """The pairs whose two error counts differ most, ties by service and sample."""
     gap = F.abs(F.col("new_error_count") - F.col("stored_error_count"))
@@ -184,18 +255,22 @@ def judge_label(model: str, effort: str | None, repeats: int, rules: str) -> Col
 def align_words(reference: list[str], hypothesis: list[str]) -> list[dict]:
     """The edits of a shortest word alignment, as a judge would list them: type, reference, hypothesis, position."""
     n, m = len(reference), len(hypothesis)
-    cost = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            swap = cost[i - 1][j - 1] + (reference[i - 1] != hypothesis[j - 1])
-            cost[i][j] = min(swap, cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    number = {w: k for k, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
+    a, b = (np.array([number[w] for w in x], np.int32) for x in (reference, hypothesis))
+    places = np.arange(m + 1, dtype=np.int32)
+    cost = np.empty((n + 1, m + 1), np.int32)
+    cost[0] = places
+    for i in range(n):  # a row at once: dropped or swapped, then added words carried on from the left
+        row = cost[i] + 1
+        row[1:] = np.minimum(row[1:], cost[i, :-1] + (b != a[i]))
+        cost[i + 1] = np.minimum.accumulate(row - places) + places
     edits, i, j = [], n, m
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (reference[i - 1] != hypothesis[j - 1]):
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
             i, j = i - 1, j - 1
-            if reference[i] != hypothesis[j]:
+            if a[i] != b[j]:
                 edits.append(("substitution", reference[i], hypothesis[j], i))
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
             i -= 1
             edits.append(("deletion", reference[i], None, i))
         else:

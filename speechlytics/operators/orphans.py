@@ -13,7 +13,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlytics.session import Written
+from speechlytics.session import Written, fresh
+
+#: Tasks that the references of one id are spread over.
+SALTS = 8
 
 
 def temporal_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
@@ -25,26 +28,31 @@ def temporal_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     left out; an empty id is an id. A NULL ref_time finds no valid parent and counts as removed, or missing.
 
     Plan: one anti-join on the id with the period as residual condition, and one left join of what is left
-    (the orphans only) against one row an id. The joins stream the references; AQE splits the partition of an
-    id that holds a large share of them. Parents written several times are reduced before the join.
+    (the orphans only) against one row an id. References of one id are spread over SALTS tasks, for each of which the
+    few periods of the parents are repeated. Parents written several times are reduced before the join.
     """
-    refs = references.filter(F.col("ref_id").isNotNull()).alias("r")
+    salt, *_ = fresh(references, "salt")
+    refs = references.filter(F.col("ref_id").isNotNull())
+    refs = refs.withColumn(salt, F.pmod(F.xxhash64(*references.columns), F.lit(SALTS))).alias("r")
     periods = parents.filter(F.col("parent_id").isNotNull()).select("parent_id", "valid_from", "valid_to")
-    valid = periods.filter(F.col("valid_from").isNotNull()).distinct().alias("p")
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias(salt)
+    valid = periods.filter(F.col("valid_from").isNotNull()).distinct().select("*", each).alias("p")
     lost = refs.join(
         valid,
-        (F.col("r.ref_id") == F.col("p.parent_id"))
+        (F.col("r.ref_id") == F.col("p.parent_id")) & (F.col(f"r.{salt}") == F.col(f"p.{salt}"))
         & (F.col("r.ref_time") >= F.col("p.valid_from"))
         & (F.col("p.valid_to").isNull() | (F.col("r.ref_time") < F.col("p.valid_to"))),
         "left_anti",
     )
-    known = periods.groupBy("parent_id").agg(F.min("valid_from").alias("first_from")).alias("k")
+    first = periods.groupBy("parent_id").agg(F.min("valid_from").alias("first_from"))
+    known = first.select("*", each).alias("k")
     reason = (
         F.when(F.col("k.parent_id").isNull(), F.lit("missing"))
         .when(F.col("r.ref_time") < F.col("k.first_from"), F.lit("early"))
         .otherwise(F.lit("removed"))
     )
-    return lost.join(known, F.col("r.ref_id") == F.col("k.parent_id"), "left").select("r.*", reason.alias("reason"))
+    met = (F.col("r.ref_id") == F.col("k.parent_id")) & (F.col(f"r.{salt}") == F.col(f"k.{salt}"))
+    return lost.join(known, met, "left").select("r.*", reason.alias("reason")).drop(salt)
 
 
 @dataclass(frozen=True)
@@ -105,7 +113,9 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], direct:
             )
             parent = tables[k.parent].select("row_id", F.col(k.parent_column).alias("__key"))
             touched = parent.join(new_parent, F.col("row_id") == F.col("__lost"), "left_semi").select("__key").distinct()
-            alive = parent.join(of_parent, F.col("row_id") == F.col("__lost"), "left_anti").select("__key").distinct()
+            # Only the other rows of the touched keys can keep one alive.
+            beside = parent.join(touched, "__key", "left_semi")
+            alive = beside.join(of_parent, F.col("row_id") == F.col("__lost"), "left_anti").select("__key").distinct()
             dead = touched.join(alive, "__key", "left_anti")
             child = tables[k.child].join(dead, F.col(k.child_column) == F.col("__key"), "left_semi")
             steps.append(tagged(k.child, child, "inherited", level + 1))

@@ -94,6 +94,20 @@ def truncated_rank(share: float) -> str:
 UPPER_MEDIAN = "n div 2"
 
 
+def true_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys..., n, median): the mean of the two values in the middle, which for an odd n are one."""
+    found = order_statistics(rows, keys, value, {"lo": "(n - 1) div 2", "hi": "n div 2"})
+    return found.select(*keys, "n", F.expr("CASE WHEN lo = hi THEN lo ELSE (lo + hi) / 2 END").alias("median"))
+
+
+def beside(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys of which NULL is one; without keys the one row of each."""
+    if not keys:
+        return rows.join(F.broadcast(other))  # one row
+    named = other.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return rows.join(named, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*(f"__{k}" for k in keys))
+
+
 def rank_percentiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys..., n, median, p95, p99) by rank: the upper median and truncated ranks, without interpolation."""
     return order_statistics(
@@ -182,8 +196,12 @@ def wer_statistics(scores: DataFrame, keys: list[str], infinite: str = "pooled_o
     wer = F.col("wer") if infinite == "everywhere" else F.when(finite, F.col("wer"))
     errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return scores.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("num_samples"), zero(F.avg(wer)).alias("wer_mean"), zero(F.median(wer)).alias("wer_median"),
+    base = scores.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("num_samples"), zero(F.avg(wer)).alias("wer_mean"),
         zero(F.stddev_samp(wer)).alias("wer_std"), zero(F.min(wer)).alias("wer_min"), zero(F.max(wer)).alias("wer_max"),
         pooled(errors, F.col("reference_words")).alias("pooled_wer"),
     )
+    middle = true_median(scores.withColumn("__wer", wer).filter(F.col("__wer").isNotNull()), keys, "__wer").drop("n")
+    return beside(base, middle, keys).select(
+        *keys, "num_samples", "wer_mean", zero(F.col("median")).alias("wer_median"), "wer_std", "wer_min", "wer_max", "pooled_wer"
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from speechlytics.session import fresh
+from speechlytics.session import Written, fresh
 
 ANY_MODEL = object()
 RESULT_KEY = ["sample_id", "service_name", "model_name"]
@@ -52,11 +52,14 @@ def write_results(new: DataFrame, path: str, order: list[str]) -> None:
     new = new.withColumn("model_name", no_model())
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    merged = upsert(spark.read.parquet(path), new, RESULT_KEY, order) if exists else latest(new, RESULT_KEY, order)
-    services = new.select("service_name").distinct()
-    from speechlytics.session import Written
-
-    kept = Written(merged.join(services, "service_name", "left_semi"), "upsert")  # a folder cannot be read and overwritten
+    if exists:  # only rows of the services at hand move; a NULL service is one
+        touched = new.select(F.col("service_name").alias("__service")).distinct()
+        stored = spark.read.parquet(path)
+        stored = stored.join(touched, F.col("service_name").eqNullSafe(F.col("__service")), "left_semi")
+        merged = upsert(stored, new, RESULT_KEY, order)
+    else:
+        merged = latest(new, RESULT_KEY, order)
+    kept = Written(merged, "upsert")  # a folder cannot be read and overwritten
     kept.read().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("service_name").parquet(path)
     kept.drop()
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechlytics.functions import identity as I
+from speechlytics.operators.stats import beside, true_median
 from speechlytics.operators.store import latest
+from speechlytics.session import fresh
 
 NAME_RULES = (("exact", 1.0), ("similarity >= 0.95", 0.95), ("similarity >= 0.90", 0.9), ("similarity >= 0.85", 0.85))
 SIMILAR_ENOUGH = 0.8
@@ -49,14 +51,14 @@ def score_rows(items: DataFrame, results: DataFrame) -> DataFrame:
     text = F.col("transcript")
     read = joined.select(
         "*",
-        I.function("check_name")(only("name", text), F.col("expected.surname")).alias("surname"),
-        I.function("check_name")(only("name", text), F.col("expected.given")).alias("given"),
-        I.function("check_name")(
+        I.check_name(only("name", text), F.col("expected.surname")).alias("surname"),
+        I.check_name(only("name", text), F.col("expected.given")).alias("given"),
+        I.check_name(
             F.when(F.col("impostor"), only("name", text)), F.col("record.surname")
         ).alias("leak"),
-        I.function("check_spelled")(only("spelled", text), F.col("expected.surname")).alias("spelled"),
-        I.function("check_email")(only("email", text), F.col("expected.email")).alias("email"),
-        I.function("check_dob")(only("dob", text), F.col("expected.dob")).alias("dob"),
+        I.check_spelled(only("spelled", text), F.col("expected.surname")).alias("spelled"),
+        I.check_email(only("email", text), F.col("expected.email")).alias("email"),
+        I.check_dob(only("dob", text), F.col("expected.dob")).alias("dob"),
         I.check_address(only("address", text), F.col("expected")).alias("address"),
     )
     parts = [F.col(f"address.{p}").alias(f"addr_{p}") for p in ADDRESS_PARTS]
@@ -102,8 +104,9 @@ def field_accuracy(scores: DataFrame, by: tuple[str, ...] = ("vendor", "conditio
         "email": (F.col("ok"), kind("email")), "dob": (F.col("ok_strict"), kind("dob")),
         "dob_us": (F.col("us_order"), kind("dob")), "address": (F.col("ok"), kind("address")),
     }
-    latency = own.groupBy(*by).agg(F.median("ttfs").alias("ttfs_median"))
-    return _rates(own, list(by), cells).join(latency, list(by))
+    known = own.filter(F.col("ttfs").isNotNull())
+    latency = true_median(known, list(by), "ttfs").withColumnRenamed("median", "ttfs_median").drop("n")
+    return beside(_rates(own, list(by), cells), latency, list(by))
 
 
 def address_parts(scores: DataFrame) -> DataFrame:
@@ -152,7 +155,7 @@ def name_rule_rates(items: DataFrame, results: DataFrame) -> DataFrame:
     names = items.filter(F.col("field") == "name").select("id", "impostor", "homophone", F.col("record.surname").alias("surname"))
     scored = results.join(names, "id").select(
         "vendor", "condition", "impostor", "homophone",
-        I.function("name_score")(F.col("transcript"), F.col("surname")).alias("s"),
+        I.name_score(F.col("transcript"), F.col("surname")).alias("s"),
     )
     rules = [F.struct(F.lit(label).alias("rule"), (F.col("s.similarity") >= t).alias("ok")) for label, t in NAME_RULES]
     sounds = F.struct(
@@ -165,35 +168,51 @@ def name_rule_rates(items: DataFrame, results: DataFrame) -> DataFrame:
     return _rates(long.withColumn("rule", F.col("r.rule")), ["vendor", "condition", "rule"], cells)
 
 
-def impostor_pairs(honest: DataFrame, records: DataFrame, blocks: int = 8) -> DataFrame:
-    """Each transcript against every other record: (id, other_id, vendor, own, text, other).
+#: Values that a block of records holds in an all-against-all comparison.
+BLOCK = 2000
 
-    This is all-against-all by definition of the measure: the records are the query set. It runs as an equi-join on a
-    block number, transcripts repeated for each block, so that no task needs all records at once.
+
+def all_against_all(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every row of ``left`` beside every row of ``right``; by definition of the measure, the right ones are the query set.
+
+    It runs as an equi-join on a block number. The right side, counted first, is cut in blocks of some ``block`` rows, and
+    left rows are repeated for each, so that no task needs all of it.
     """
-    spread = honest.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    others = records.select(F.col("id").alias("other_id"), F.col("value").alias("other")).withColumn(
-        "__block", F.pmod(F.xxhash64("other_id"), F.lit(blocks)).cast("int")
-    )
-    return spread.join(others, "__block").filter(F.col("id") != F.col("other_id")).drop("__block")
+    blocks = max(1, -(-right.count() // block))
+    (number,) = fresh(left, "block")
+    spread = left.withColumn(number, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    placed = right.withColumn(number, F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).cast("int"))
+    return spread.join(placed, number).drop(number)
+
+
+def impostor_pairs(honest: DataFrame, records: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each transcript against every other record: (id, other_id, vendor, text, other)."""
+    others = records.select(F.col("id").alias("other_id"), F.col("value").alias("other"))
+    return all_against_all(honest, others, block).filter(F.col("id") != F.col("other_id"))
 
 
 def cross_rates(honest: DataFrame, records: DataFrame, score: str, rules: tuple[float, ...]) -> DataFrame:
     """Per vendor and threshold: passes of genuine callers against their own record and of all others against it.
 
-    ``honest`` is (id, vendor, text), already normalised; ``records`` (id, value), normalised too. Equal (text, value)
-    pairs are scored once.
+    ``honest`` is (id, vendor, text), already normalised; ``records`` (id, value), normalised too. Only different texts and
+    values meet, each pair once, with the numbers of transcripts and records they stand for; pairs of an id with itself are
+    then taken off.
     """
-    own = honest.join(records, "id").select("vendor", "text", F.col("value").alias("other"), F.lit(True).alias("genuine"))
-    pairs = impostor_pairs(honest, records).select("vendor", "text", "other", F.lit(False).alias("genuine"))
-    counted = own.unionByName(pairs).groupBy("vendor", "text", "other", "genuine").agg(F.count(F.lit(1)).alias("c"))
-    scored = counted.withColumn("s", I.function(score)(F.col("text"), F.col("other")))
-    long = scored.withColumn("least", F.explode(F.array(*map(F.lit, rules))))
-    passed = lambda g: F.sum(F.when((F.col("genuine") == g) & (F.col("s") >= F.col("least")), F.col("c")).otherwise(0))
-    total = lambda g: F.sum(F.when(F.col("genuine") == g, F.col("c")).otherwise(0))
-    return long.groupBy("vendor", "least").agg(
-        passed(True).alias("genuine_passed"), total(True).alias("genuine_n"),
-        passed(False).alias("impostor_passed"), total(False).alias("impostor_n"),
+    texts = honest.groupBy("vendor", "text").agg(F.count(F.lit(1)).alias("n"))
+    values = records.groupBy(F.col("value").alias("other")).agg(F.count(F.lit(1)).alias("m"))
+    met = all_against_all(texts.select("text").distinct(), values).withColumn("s", getattr(I, score)(F.col("text"), F.col("other")))
+    rule = F.explode(F.array(*map(F.lit, rules))).alias("least")
+    every = met.join(texts, "text").select("vendor", (F.col("n") * F.col("m")).alias("c"), "s", rule)
+    own = honest.join(records, "id").groupBy("vendor", "text", F.col("value").alias("other")).agg(F.count(F.lit(1)).alias("c"))
+    own = own.withColumn("s", getattr(I, score)(F.col("text"), F.col("other"))).select("vendor", "c", "s", rule)
+    sums = lambda rows, name: rows.groupBy("vendor", "least").agg(
+        F.sum(F.when(F.col("s") >= F.col("least"), F.col("c")).otherwise(0)).alias(f"{name}_passed"), F.sum("c").alias(f"{name}_n"))
+    both = sums(every, "all").join(sums(own, "genuine"), ["vendor", "least"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return both.select(
+        "vendor", "least", zero(F.col("genuine_passed")).alias("genuine_passed"), zero(F.col("genuine_n")).alias("genuine_n"),
+        (F.col("all_passed") - zero(F.col("genuine_passed"))).alias("impostor_passed"),
+        (F.col("all_n") - zero(F.col("genuine_n"))).alias("impostor_n"),
     )
 
 
@@ -217,10 +236,10 @@ def verification_flow(callers: DataFrame, results: DataFrame, hinted: str = "rec
         whole = whole.join(clip(condition, prefix, name), keys)
     scored = whole.select(
         "id", "vendor", "impostor", "homophone",
-        I.function("name_score")(F.col("honest"), F.col("surname"))["similarity"].alias("honest"),
-        I.function("name_score")(F.col("hinted"), F.col("surname"))["similarity"].alias("hinted"),
-        I.function("spelled_score")(F.col("spelling"), F.col("surname")).alias("spelling"),
-        I.function("dob_match")(F.col("birth"), F.col("dob")).alias("born"),
+        I.name_score(F.col("honest"), F.col("surname"))["similarity"].alias("honest"),
+        I.name_score(F.col("hinted"), F.col("surname"))["similarity"].alias("hinted"),
+        I.spelled_score(F.col("spelling"), F.col("surname")).alias("spelling"),
+        I.dob_match(F.col("birth"), F.col("dob")).alias("born"),
     )
     decisions = []
     for label, with_hint, fallback, dob in POLICIES:

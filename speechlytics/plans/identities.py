@@ -269,7 +269,7 @@ def identity_email_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     those = items(spark, sf_dir).filter(F.col("field") == "email")
     records = those.select("id", F.lower("record.email").alias("value")).filter(F.col("value").isNotNull())
     honest = valid_results(spark, sf_dir).filter(F.col("condition") == "none").join(those.select("id"), "id", "left_semi")
-    heard = honest.select("id", "vendor", I.function("normalise_email")(F.col("transcript")).alias("text"))
+    heard = honest.select("id", "vendor", I.normalise_email(F.col("transcript")).alias("text"))
     return V.cross_rates(heard, records, "window_sim", (1.0, 0.95, 0.9))
 
 
@@ -307,8 +307,8 @@ def identity_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = valid_results(spark, sf_dir)
     text = F.col("transcript")
     return rows.select(
-        "id", "vendor", "condition", I.function("digits")(text).alias("digits"), I.parse_dob(text).alias("date"),
-        I.function("normalise_address")(text).alias("address"), I.function("letter_runs")(text).alias("letters"),
+        "id", "vendor", "condition", I.digits(text).alias("digits"), I.parse_dob(text).alias("date"),
+        I.normalise_address(text).alias("address"), I.letter_runs(text).alias("letters"),
     )
 
 

@@ -193,24 +193,61 @@ def rank_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The draws of a bootstrap, and how often a row with hash h is drawn in one (``judging.poisson_weights``).
+DRAWS_SQL = """
+    draws AS (SELECT i AS draw, 1 + ('0x' || substr(md5('a:' || i), 1, 7))::BIGINT AS fa,
+                     ('0x' || substr(md5('b:' || i), 1, 7))::BIGINT AS fb FROM range(2000) t(i))
+"""
+WEIGHT_SQL = f"list_sum(list_transform({list(judging.ENDS)}, lambda e: ((h * fa + fb) % 2147483647 >= e)::INT))"
+
+#: Every judge's scores of a service's samples, and the services' neighbours in the ranking by their mean.
+NEIGHBOURS_SQL = f"""
+    {RUNS_SQL},
+    q AS (SELECT split_part(key, '|', 1) AS service_name, split_part(key, '|', 3) AS sample_id, avg(wer) AS wer
+          FROM u WHERE wer < 'inf'::DOUBLE AND key IS NOT NULL GROUP BY ALL),
+    m AS (SELECT service_name, round(avg(wer), 6) AS v FROM q GROUP BY 1),
+    o AS (SELECT service_name, lead(service_name) OVER (ORDER BY v, service_name) AS next_service FROM m),
+    g AS (SELECT a.service_name, o.next_service, a.sample_id, b.wer - a.wer AS gap
+          FROM q a JOIN o USING (service_name) JOIN q b ON b.service_name = o.next_service AND b.sample_id = a.sample_id)
+"""
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    of = lambda k: F.split_part("key", F.lit("|"), F.lit(k))
+    known = runs(spark, sf_dir).filter((F.col("wer") < float("inf")) & F.col("key").isNotNull())
+    each = known.groupBy(of(1).alias("service_name"), of(3).alias("sample_id")).agg(F.avg("wer").alias("new_wer"))
+    means = rounded(each.groupBy("service_name").agg(F.avg("new_wer").alias("v")), "v")
+    return each, means.select("service_name", F.expr("lead(service_name) OVER (ORDER BY v, service_name)").alias("next_service"))
+
+
 @judges.query(
     f"""
-    WITH {PAIRS_SQL},
-    m AS (SELECT service_name, round(avg(new_wer), 6) AS v FROM p GROUP BY 1),
-    o AS (SELECT service_name, lead(service_name) OVER (ORDER BY v, service_name) AS next_service FROM m),
-    q AS (SELECT service_name, sample_id, max(new_wer) AS new_wer FROM p GROUP BY ALL)
-    SELECT a.service_name, o.next_service, count(*) AS n, round(avg(b.new_wer - a.new_wer), 6) AS gap
-    FROM q a JOIN o USING (service_name) JOIN q b ON b.service_name = o.next_service AND b.sample_id = a.sample_id
-    GROUP BY ALL
+    WITH {NEIGHBOURS_SQL}
+    SELECT service_name, next_service, count(*) AS n, round(avg(gap), 6) AS gap FROM g GROUP BY ALL
     """
 )
 def service_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gap between neighbours in the ranking over the samples both have."""
-    pairs = judge_pairs(spark, sf_dir)
-    means = rounded(judging.impact(pairs, "service_name"), "new_mean")
-    next_ = F.expr("lead(service_name) OVER (ORDER BY new_mean, service_name)").alias("next_service")
-    one = pairs.groupBy("service_name", "sample_id").agg(F.max("new_wer").alias("new_wer"))
-    return rounded(judging.service_gaps(one, means.select("service_name", next_)), "gap")
+    """The gap between neighbours in the ranking by all judges' scores, over the samples both have."""
+    return rounded(judging.service_gaps(*_neighbours(spark, sf_dir)), "gap")
+
+
+@judges.query(
+    f"""
+    WITH {NEIGHBOURS_SQL}, {DRAWS_SQL},
+    d AS (SELECT service_name, next_service, gap AS x, ('0x' || substr(md5(sample_id), 1, 15))::BIGINT % 2147483647 AS h FROM g),
+    k AS (SELECT service_name, next_service, draw, x, {WEIGHT_SQL} AS w FROM d, draws),
+    b AS (SELECT service_name, next_service, draw, sum(w * x) / sum(w) AS m FROM k GROUP BY ALL HAVING sum(w) > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY service_name, next_service ORDER BY m) - 1 AS i,
+                 count(*) OVER (PARTITION BY service_name, next_service) AS n FROM b),
+    e AS (SELECT service_name, next_service, round(max(m) FILTER (i = floor(0.025::DOUBLE * n)::BIGINT), 6) AS low,
+                 round(max(m) FILTER (i = floor(0.975::DOUBLE * n)::BIGINT - 1), 6) AS high FROM r GROUP BY ALL)
+    SELECT service_name, next_service, count(*) AS n, round(avg(gap), 6) AS gap, any_value(low) AS low, any_value(high) AS high
+    FROM g JOIN e USING (service_name, next_service) GROUP BY ALL
+    """
+)
+def service_gap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps between neighbours with their 95 % intervals."""
+    return rounded(judging.gap_intervals(*_neighbours(spark, sf_dir)), "gap", "low", "high")
 
 
 @judges.query(
@@ -232,10 +269,9 @@ def top_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @judges.query(
     f"""
     WITH {PAIRS_SQL},
-    d AS (SELECT key, new_wer - stored_wer AS x FROM p),
-    u AS (SELECT i AS draw, x, ('0x' || substr(md5(i || ':' || key), 1, 7))::BIGINT AS u FROM d, range(2000) t(i)),
-    k AS (SELECT draw, x, list_sum(list_transform([98751886, 197503772, 246879715, 263338363, 267453025, 268275957, 268413113,
-                 268432706, 268435156, 268435428], lambda e: (u >= e)::INT)) AS w FROM u),
+    d AS (SELECT ('0x' || substr(md5(key), 1, 15))::BIGINT % 2147483647 AS h, new_wer - stored_wer AS x FROM p),
+    {DRAWS_SQL},
+    k AS (SELECT draw, x, {WEIGHT_SQL} AS w FROM d, draws),
     m AS (SELECT draw, sum(w * x) / sum(w) AS m FROM k WHERE w > 0 GROUP BY draw),
     o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS i, count(*) OVER () AS n FROM m)
     SELECT 'all' AS part, (SELECT count(*) FROM d) AS n, (SELECT round(avg(x), 6) FROM d) AS mean,

@@ -35,10 +35,14 @@ def get_spark(app: str = "speechlytics", cores: int | str = "*", partitions: int
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is made and set.
+    Only where that setting is absent and the master is local (tests, a laptop) a temporary folder is made and set;
+    elsewhere executors and driver would write to different disks, so it raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="speechlytics-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

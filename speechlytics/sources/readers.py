@@ -1,7 +1,7 @@
 """Readers of run files, notes, judgment logs, identity results, result tables and audio.
 
 JSON lines are read as text and parsed with declared schemas, so malformed lines become NULL rows that are dropped.
-Line order within a file is kept: a file's lines are numbered by the reader where "the last one counts".
+Line order within a file is kept: the reader says where a line stands, as "the last one counts".
 """
 
 from __future__ import annotations
@@ -38,10 +38,15 @@ ITEM_LINE = (
 
 
 def json_lines(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
-    """Parsed lines with file and line_no. Whole files are read (they are logs of one run each), so that lines can be
-    numbered; many files are read in parallel. Blank and malformed lines are dropped, their numbers are not reused."""
-    files = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """Parsed lines with file and line_no, a struct (block, row) that sorts lines as they stand in their file.
+
+    Files are read in blocks by as many tasks as there are. The lines of a block come in order to one task, so their order
+    is that of the blocks' starts and, within one, of the task's rows. Blank and malformed lines are dropped.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), place.alias("line_no"), F.col("value").alias("line")
+    )
     parsed = lines.select("file", "line_no", F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("x"))
     first = "x." + schema.split()[0].strip("`")
     return parsed.filter(F.col("x").isNotNull() & F.col(first).isNotNull()).select("file", "line_no", "x.*")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlytics.functions.wording import errors_text
+from speechlytics.session import Written
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -16,11 +18,29 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def json_envelope(rows: DataFrame, metadata: dict[str, str]) -> DataFrame:
-    """One JSON document {metadata, results}: meant for the report of one service, whose rows one task holds."""
-    head = F.create_map(*(F.lit(x) for pair in metadata.items() for x in pair))
-    body = F.collect_list(F.struct(*rows.columns)).alias("results")
-    return rows.agg(body).select(F.to_json(F.struct(head.alias("metadata"), "results")).alias("value"))
+def write_json_envelope(rows: DataFrame, metadata: dict[str, str], path: str) -> None:
+    """One JSON document {metadata, results: [...]} over the part files of a folder: their lines, file after file, are it.
+
+    A row is a line; no task holds more than its own rows.
+    """
+    spark = rows.sparkSession
+    kept = Written(rows.select(F.to_json(F.struct(*rows.columns)).alias("value"), F.monotonically_increasing_id().alias("__id")), "envelope")
+    stored = kept.read()
+    first = stored.agg(F.min("__id")).first()[0]
+    line = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+    head = line(json.dumps({"metadata": metadata})[:-1] + ', "results": [')
+    of = lambda where, text: stored.filter(where).select(text.alias("value"))
+    body = of(F.col("__id") == F.lit(first), F.col("value")).coalesce(1).union(
+        of(F.col("__id") != F.lit(first), F.concat(F.lit(","), "value"))
+    )
+    head.union(body).union(line("]}")).write.mode("overwrite").text(path)
+    kept.drop()
+
+
+def read_json_envelope(spark: SparkSession, path: str) -> str:
+    """The text of a document that ``write_json_envelope`` wrote; for small ones."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    return "".join(r.value for r in files.orderBy("name").collect())
 
 
 def append_json_lines(rows: DataFrame, path: str) -> None:

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from speechlytics import __main__ as commands
-from speechlytics.sources import registry
+from speechlytics.sources import registry, sinks
 from speechlytics.sources import results_table as T
 from tests.conftest import rows
 from tests.test_queries import DATA
@@ -40,7 +40,7 @@ def test_commands(spark, here, tmp_path, capsys):
     commands.main(["report", "--data", here, "--service", "voxaria"])
     assert "| 0% (perfect) |" in capsys.readouterr().out
     commands.main(["export", "--data", here, "--service", "voxaria", "--out", str(tmp_path / "x")])
-    document = json.loads(spark.read.text(str(tmp_path / "x/json")).first().value)
+    document = json.loads(sinks.read_json_envelope(spark, str(tmp_path / "x/json")))
     assert document["metadata"] == {"service": "voxaria"}
     names = spark.read.parquet(f"{here}/results.parquet").select("service_name").distinct().limit(3).collect()
     path, doc = tmp_path / "reg.jsonl", tmp_path / "doc.md"

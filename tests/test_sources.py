@@ -101,7 +101,8 @@ def test_exports(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()
     assert back.t == 'say "hi", x' and back.n == "[1,2]"
-    doc = json.loads(sinks.json_envelope(df, {"service": "s"}).first().value)
+    sinks.write_json_envelope(df.union(df).repartition(3), {"service": "s"}, str(tmp_path / "envelope"))
+    doc = json.loads(sinks.read_json_envelope(spark, str(tmp_path / "envelope")))
     assert doc["metadata"] == {"service": "s"} and doc["results"][0]["n"] == [1, 2]
     sinks.append_json_lines(df, str(tmp_path / "log"))
     sinks.append_json_lines(df, str(tmp_path / "log"))
