@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from speechlytics.functions.wording import count_words, errors_valid, invented_insertions, weighted_count, word_error_rate
 from speechlytics.operators.stats import beside, order_statistics, pooled
 from speechlytics.operators.store import latest
+from speechlytics.session import Written
 
 BOOTSTRAPS = 2000
 #: Transcriptions of one service that a mean is taken over when judging its noise.
@@ -36,6 +37,36 @@ def score_judgments(judgments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scored.withColumn("wer", wer), checked.filter(F.col("reason").isNotNull())
 
 
+#: How often a pair is judged again whose error list could not be used.
+ATTEMPTS = 3
+
+
+def judge_pending(pending: DataFrame, judge: Callable[[DataFrame], DataFrame], attempts: int = ATTEMPTS) -> tuple[DataFrame, DataFrame]:
+    """(scores, quarantine) of the pairs (sample_id, service_name, model_name, reference, hypothesis) of a work queue.
+
+    ``judge`` adds the column errors. Pairs with an unusable list are judged again, up to ``attempts`` times in all, and
+    then set aside with the reason; what it gives no list for (NULL) is left out of both and stays pending.
+    """
+    key = ["sample_id", "service_name", "model_name"]
+    left, done, bad = pending, None, None
+    for k in range(attempts):
+        judged = Written(judge(left), "judged").read()
+        good, bad = score_judgments(judged.filter(F.col("errors").isNotNull()))
+        done = good if done is None else done.unionByName(good)
+        if k + 1 == attempts or bad.isEmpty():
+            break
+        left = left.join(bad.select(*key), key, "left_semi")
+    return done, bad
+
+
+def without_mixed(pending: DataFrame, scores: DataFrame | None, judge: str, force: bool = False) -> DataFrame:
+    """A work queue without the services that have scores of another judge (NULL included), unless forced."""
+    if scores is None or force:
+        return pending
+    mixed = mixed_judges(scores, judge).filter("mixed").select("service_name")
+    return pending.join(mixed, "service_name", "left_anti")
+
+
 def usable_judgments(log: DataFrame, judge: str, order: list[str]) -> DataFrame:
     """From a resumed log, this judge's judgments with a result, the last of each (key, repeat) by ``order``."""
     return latest(log.filter((F.col("judge") == judge) & F.col("result").isNotNull()), ["key", "repeat"], order)

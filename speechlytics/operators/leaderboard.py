@@ -55,6 +55,18 @@ def report_rows(scores: DataFrame, truth: DataFrame, results: DataFrame, samples
     )
 
 
+def with_dataset_index(report: DataFrame, samples: DataFrame) -> DataFrame:
+    """Report rows with the dataset_index of their sample, NULL where there is none."""
+    one = samples.groupBy("sample_id").agg(F.min("dataset_index").alias("dataset_index"))
+    return report.join(one, "sample_id", "left")
+
+
+def by_mean_wer(summary: DataFrame) -> DataFrame:
+    """A summary in order of mean wer, best first, with its place."""
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("wer_mean"), *_KEY)).alias("place")  # one row a service
+    return summary.select("*", place).orderBy("place")
+
+
 def worst(report: DataFrame, count: int) -> DataFrame:
     return report.orderBy(F.desc("wer"), "service_name", "model_name", "sample_id").limit(count)
 
@@ -104,7 +116,7 @@ def pareto_frontier(points: DataFrame, x: str, y: str) -> DataFrame:
     good = least.filter(
         (F.col("__w").isNull() | (F.col("__w") > F.col("__y"))) & (F.col("__m").isNull() | (F.col("__m") > F.col("__y")))
     ).select("__x", "__y")
-    return held.join(good, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")), "left_semi")
+    return held.join(good, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")), "left_semi").orderBy(x, y)
 
 
 def display_labels(rows: DataFrame, vendor: str, model: str) -> DataFrame:

@@ -205,3 +205,13 @@ def wer_statistics(scores: DataFrame, keys: list[str], infinite: str = "pooled_o
     return beside(base, middle, keys).select(
         *keys, "num_samples", "wer_mean", zero(F.col("median")).alias("wer_median"), "wer_std", "wer_min", "wer_max", "pooled_wer"
     )
+
+
+#: Rates from which a result counts as an outlier, and as one worth listing.
+OUTLIER, LISTED = 0.5, 0.2
+
+
+def outliers(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., n, n_outliers, n_listed): scores above OUTLIER and above LISTED."""
+    over = lambda limit: F.count_if(F.col("wer") > limit)
+    return scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), over(OUTLIER).alias("n_outliers"), over(LISTED).alias("n_listed"))

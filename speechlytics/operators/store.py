@@ -193,3 +193,62 @@ def overlay(rows: DataFrame, column: str, fixes: DataFrame, key: str) -> DataFra
     merged = F.struct(*(F.coalesce(f"__patch.{f}", f"{column}.{f}").alias(f) for f in fields))
     joined = rows.join(patch, F.col(key) == F.col("__key"), "left")
     return joined.withColumn(column, F.when(F.col("__patch").isNull(), F.col(column)).otherwise(merged)).drop("__key", "__patch")
+
+
+def first_samples(samples: DataFrame, count: int) -> DataFrame:
+    """The first samples in the order of the dataset (a top-k, each task sends no more than ``count``)."""
+    rest = [c for c in samples.columns if c != "dataset_index"]
+    return samples.orderBy(F.asc_nulls_last("dataset_index"), *(F.asc_nulls_last(c) for c in rest)).limit(count)
+
+
+def newest_first(rows: DataFrame, time: str, key: str) -> DataFrame:
+    """Rows in order of time, the newest first, ties by key."""
+    return rows.orderBy(F.desc_nulls_last(time), F.desc(key))
+
+
+def lookup(rows: DataFrame, **key: object) -> DataFrame:
+    """The rows with given values of some columns; None stands for NULL. The conditions reach the scan."""
+    met = [F.col(c).isNull() if v is None else F.col(c) == F.lit(v) for c, v in key.items()]
+    return rows.filter(reduce(lambda a, b: a & b, met))
+
+
+def first_service(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows of the service and model of the first row by ``order``: what statistics are taken over where none is named."""
+    first = rows.agg(F.min(F.struct(*order, "service_name", no_model().alias("model"))).alias("x"))
+    named = first.select(F.col("x.service_name").alias("__s"), F.col("x.model").alias("__m"))
+    # One row, so it may be sent to every task.
+    return rows.join(F.broadcast(named), F.col("service_name").eqNullSafe(F.col("__s")) & (no_model() == F.col("__m"))).drop("__s", "__m")
+
+
+def in_selection(pending: DataFrame, selected: DataFrame) -> DataFrame:
+    """Of a work queue the samples that were selected."""
+    return pending.join(selected.select("sample_id"), "sample_id", "left_semi")
+
+
+def available_services(registry: DataFrame, wanted: list[str]) -> DataFrame:
+    """Registered services of those wanted; ``all`` means those that are available (column available, NULL: yes)."""
+    names = [w.strip().lower() for w in wanted]
+    if "all" in names:
+        return registry.filter(F.coalesce("available", F.lit(True)))
+    return registry.filter(F.col("service_name").isin(names))
+
+
+def start_run(runs: DataFrame | None, run: DataFrame) -> DataFrame:
+    """Runs with a new one; its run_id must not be there yet (checked by ``violations`` of the caller's table)."""
+    return run if runs is None else runs.unionByName(run.join(runs.select("run_id"), "run_id", "left_anti"), allowMissingColumns=True)
+
+
+def finish_run(runs: DataFrame, finished: DataFrame) -> DataFrame:
+    """Runs with completed_at (and num_samples, where given) of ``finished`` (run_id, completed_at, num_samples)."""
+    ends = finished.select("run_id", F.col("completed_at").alias("__at"), F.col("num_samples").alias("__n"))
+    joined = runs.join(ends, "run_id", "left")
+    changed = joined.withColumns({"completed_at": F.coalesce("__at", "completed_at"), "num_samples": F.coalesce("__n", "num_samples")})
+    return changed.select(*runs.columns)
+
+
+def quarantine(rows: DataFrame, required: list[str], allowed: dict[str, list]) -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad rows with a reason): a required value missing, or one that is none of those allowed for its column."""
+    absent = [F.when(F.col(c).isNull(), F.lit(f"{c} missing")) for c in required]
+    unknown = [F.when(F.col(c).isNotNull() & ~F.col(c).isin(values), F.lit(f"{c} unknown")) for c, values in allowed.items()]
+    checked = rows.withColumn("reason", F.coalesce(*absent, *unknown, F.lit(None).cast("string")))
+    return checked.filter(F.col("reason").isNull()).drop("reason"), checked.filter(F.col("reason").isNotNull())

@@ -20,6 +20,22 @@ POLICIES = (
 )
 
 
+#: Conditions in the order of reports.
+CONDITIONS = ("none", "generic", "domain", "record")
+
+
+def place_in(column: str, values: tuple[str, ...]) -> Column:
+    """The place of a value in a fixed order; values that are not in it come last."""
+    at = F.array_position(F.array(*map(F.lit, values)), F.col(column))
+    return F.when(at > 0, at - 1).otherwise(F.lit(len(values))).cast("int")
+
+
+def in_fixed_order(rows: DataFrame, vendors: tuple[str, ...] = (), conditions: tuple[str, ...] = CONDITIONS) -> DataFrame:
+    """Rows of (vendor, condition, ...) in the order of reports: the vendors named first, in their order, then by name."""
+    first = [place_in("vendor", vendors)] if vendors else []
+    return rows.orderBy(*first, "vendor", place_in("condition", conditions), "condition")
+
+
 def scorable(field: Column) -> Column:
     """The kind of detail a field is scored as: clips of the full flow count as what they hold."""
     return F.when(field == "flow_spelled", "spelled").when(field == "flow_dob", "dob").otherwise(field)

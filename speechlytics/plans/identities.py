@@ -292,7 +292,21 @@ def identity_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.verification_flow(callers.join(born, "id"), heard, hinted="domain")
 
 
-@identities.query()
+_SOUND_SQL = "translate(regexp_replace(substr(n, 2), '[hw]', '', 'g'), 'bfpvcgjkqsxzdtlmnraeiouy', '111122222222334556000000')"
+for _d in "123456":
+    _SOUND_SQL = f"regexp_replace({_SOUND_SQL}, '{_d}+', '{_d}', 'g')"
+
+
+@identities.query(
+    f"""
+    WITH {ITEMS_SQL},
+    a AS (SELECT id, regexp_replace(lower(record.surname), '[^a-z]', '', 'g') AS n FROM i WHERE record.surname IS NOT NULL),
+    b AS (SELECT id, n, translate(left(n, 1), 'bfpvcgjkqsxzdtlmnraeiouyhw', '11112222222233455600000099') AS f, {_SOUND_SQL} AS c FROM a),
+    d AS (SELECT id, CASE WHEN n = '' THEN '' ELSE left(upper(left(n, 1))
+          || replace(CASE WHEN left(c, 1) = f THEN substr(c, 2) ELSE c END, '0', '') || '000', 4) END AS code FROM b)
+    SELECT code, count(*) AS n, min(id) AS first_id FROM d GROUP BY code
+    """
+)
 def identity_sound_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surnames of records with their sound codes and sizes of equal-sounding groups."""
     named = items(spark, sf_dir).filter(F.col("record.surname").isNotNull()).select(

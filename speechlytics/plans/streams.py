@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlytics.operators import audio, store
-from speechlytics.plans.latency import rounded
+from speechlytics.plans.latency import latency, rounded
 from speechlytics.plans.registry import Registry
 from speechlytics.session import table
 from speechlytics.streaming import segments
@@ -169,7 +169,19 @@ def json_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(rows, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "k")
 
 
-@streams.query()
+@streams.query(
+    latency.sqls["service_summary"].rsplit("SELECT * FROM s", 1)[0]
+    + f"""
+    , rates AS ({latency.sqls["transcript_stats"]})
+    SELECT upper(left(service_name, 1)) || lower(substr(service_name, 2)) AS vendor,
+           CASE WHEN model_name = '' THEN 'N/A' ELSE model_name END AS model,
+           printf('%.1f', success_rate * 100)::DOUBLE AS success_rate, printf('%.1f', perfect_count / sample_count * 100)::DOUBLE AS perfect_pct,
+           printf('%.2f', wer_mean * 100)::DOUBLE AS wer_mean, printf('%.2f', pooled_wer * 100)::DOUBLE AS pooled_wer,
+           printf('%.0f', s.ttfb_median * 1000)::DOUBLE AS ttfb_median, printf('%.0f', s.ttfb_p95 * 1000)::DOUBLE AS ttfb_p95,
+           printf('%.0f', s.ttfb_p99 * 1000)::DOUBLE AS ttfb_p99, false AS previous_judge
+    FROM s JOIN rates USING (service_name, model_name)
+    """
+)
 def published_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaderboard written as the published table and parsed again."""
     from speechlytics.plans.latency import results, scores, transcript_stats
