@@ -23,6 +23,8 @@ from speechlytics.session import Written
 
 #: Values in a run, and values in question from which a rank is found by sorting them.
 RUN, LEAF = 8192, 4096
+#: Groups whose searches may be sent to every task; tasks that a group's runs are spread over beyond that.
+SENT, SALTS = 20_000, 16
 PERCENTILES = (50, 90, 95, 99)
 
 
@@ -152,7 +154,8 @@ def multi_select(runs: DataFrame, keys: list[str], percentiles: tuple[int, ...]
     """(keys..., n, p50, p90, ...): exact percentiles of each group from its sorted runs.
 
     ``runs`` has the string columns ``keys`` and ``run``. The state of a search is one row a group and percentile;
-    each round joins it to the runs (by broadcast only if it is under the session's threshold), sends back one row for
+    each round joins it to the runs (by broadcast up to SENT groups, beyond it with the runs of a group spread over SALTS
+    tasks), sends back one row for
     each search and partition, and writes the new state. Ruled-out values are dropped from the runs whenever
     half of what is stored is no longer in question, so that all rounds together read about twice the data.
     """
@@ -183,22 +186,26 @@ def multi_select(runs: DataFrame, keys: list[str], percentiles: tuple[int, ...]
     )
     stored: Written | None = None
 
-    def searching(data: DataFrame, rows: DataFrame) -> DataFrame:
+    def searching(data: DataFrame, rows: DataFrame, groups: int) -> DataFrame:
         todo = rows.groupBy(*names).agg(F.collect_list(F.struct("p", "lo", "hi", "pivot")).alias("searches"))
-        return data.join(todo, names).select(*names, "run", "searches")
+        if groups <= SENT:  # counted: a row for each, with a search for each percentile
+            return data.join(F.broadcast(todo), names).select(*names, "run", "searches")
+        salted = data.withColumn("__salt", F.pmod(F.xxhash64("run"), F.lit(SALTS)))
+        spread = todo.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        return salted.join(spread, [*names, "__salt"]).select(*names, "run", "searches")
 
     size = None
     while True:
         now = state.read()
         busy = now.filter(F.col("value").isNull() & (F.col("open") > LEAF))
         left = now.filter(F.col("value").isNull()).groupBy(*names).agg(F.sum("open").alias("o"), F.max(F.col("open") > LEAF).alias("b"))
-        many, some = left.agg(F.sum(F.least(F.col("o"), F.lit(1 << 60))), F.count_if("b")).first()
+        many, some, groups = left.agg(F.sum(F.least(F.col("o"), F.lit(1 << 60))), F.count_if("b"), F.count(F.lit(1))).first()
         if not some:
             break
         data = stored.read() if stored else base
         if size is not None and many < size / 2:
             trimmed = Written(
-                searching(data, now.filter(F.col("value").isNull())).mapInArrow(
+                searching(data, now.filter(F.col("value").isNull()), groups).mapInArrow(
                     _trimming(width, False), f"{key_fields}, run array<double>"
                 ),
                 "trimmed",
@@ -208,7 +215,7 @@ def multi_select(runs: DataFrame, keys: list[str], percentiles: tuple[int, ...]
             stored, size = trimmed, many
             data = stored.read()
         size = size or many
-        told = searching(data, busy).mapInArrow(
+        told = searching(data, busy, groups).mapInArrow(
             _counting(width),
             f"{key_fields}, p int, below bigint, equal bigint, above bigint, left double, right double",
         )
@@ -244,7 +251,7 @@ def multi_select(runs: DataFrame, keys: list[str], percentiles: tuple[int, ...]
     rest = final.filter(F.col("value").isNull()).withColumn("lead", F.min("p").over(lead))
     data = stored.read() if stored else base
     picked = (
-        searching(data, rest.filter(F.col("p") == F.col("lead")))
+        searching(data, rest.filter(F.col("p") == F.col("lead")), groups)
         .mapInArrow(_trimming(width, True), f"{key_fields}, p int, run array<double>")
         .groupBy(*names, F.col("p").alias("lead")).agg(F.array_sort(F.flatten(F.collect_list("run"))).alias("values"))
     )

@@ -52,3 +52,9 @@ def test_nan_is_greatest_and_empty_is_empty(spark):
     assert got.p50 == 1.0 and math.isnan(got.p99)
     assert Q.daily_and_overall(df.limit(0), ["service"], "day", "x").isEmpty()
     assert Q._weighted_median([(3.0, 1), (1.0, 5), (np.inf, 1)]) == 1.0
+
+
+def test_searches_of_very_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SENT", 0)
+    monkeypatch.setattr(Q, "LEAF", 8)
+    test_against_sorting(spark, monkeypatch, 8)
