@@ -275,7 +275,8 @@ def identity_email_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @identities.query()
 def identity_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One decision a caller under five policies; of several clips of a caller and kind the one with the least id counts."""
+    """One decision a caller under five policies, whoever transcribed each clip (few callers have all of theirs from one
+    vendor); of several transcripts of a caller's clip the one with the least id and vendor counts."""
     every = items(spark, sf_dir)
     born = every.filter((F.col("field") == "flow_dob") & F.col("record.dob").isNotNull())
     born = born.groupBy(F.col("caller").alias("id")).agg(F.min_by("record.dob", "id").alias("dob"))
@@ -286,8 +287,8 @@ def identity_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     clip = F.when(of_flow, F.concat_ws("_", "field", "caller")).otherwise(F.col("id"))
     heard = (
         valid_results(spark, sf_dir).join(every.select("id", "field", "caller"), "id")
-        .groupBy("vendor", "condition", clip.alias("clip")).agg(F.min_by("transcript", "id").alias("transcript"))
-        .withColumnRenamed("clip", "id")
+        .groupBy("condition", clip.alias("clip")).agg(F.min_by("transcript", F.struct("id", "vendor")).alias("transcript"))
+        .select("condition", F.col("clip").alias("id"), "transcript", F.lit("any").alias("vendor"))
     )
     return V.verification_flow(callers.join(born, "id"), heard, hinted="domain")
 

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_open_scopes: list[list[Written]] = []
+
+
+@contextmanager
+def written_scope() -> Iterator[None]:
+    """Drops, at its end, what was written to the shared folder within it. For callers who have stored or collected their
+    results by then; results read lazily afterwards would find nothing."""
+    mine: list[Written] = []
+    _open_scopes.append(mine)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(mine)
+        for w in mine:
+            w.drop()
+
+
 class Written:
     """A table written to the shared folder: cuts the lineage and survives the loss of executors."""
 
@@ -60,7 +79,9 @@ class Written:
         writer.parquet(self.path)
         self.schema = df.schema
         target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        # Results are read lazily, so what is not dropped before goes when the driver ends.
+        if _open_scopes:
+            _open_scopes[-1].append(self)
+        # Results are read lazily, so what is not dropped before goes with its scope, or when the driver ends.
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
     def read(self) -> DataFrame:

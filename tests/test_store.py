@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,3 +85,30 @@ def test_schemas_and_small_reads(spark):
     assert rows(store.union_last([one, one.withColumn("n", F.lit(2))], ["id"])) == [("a", 2)]
     known, unknown = store.missing_services([" S ", "Q"], spark.createDataFrame([("s",)], "service_name string"), spark)
     assert rows(known) == [("s",)] and rows(unknown) == [("q",)]
+
+
+def test_written_tables_go_with_their_scope(spark):
+    from speechlytics.session import Written, written_scope
+
+    outer = Written(spark.range(3), "outer")
+    with written_scope():
+        inner = Written(spark.range(2), "inner")
+        assert inner.read().count() == 2
+    with pytest.raises(Exception):  # noqa: B017
+        inner.read().count()
+    assert outer.read().count() == 3
+
+
+def test_scans_and_runs(spark):
+    from speechlytics.operators import store as S
+
+    rows_ = spark.createDataFrame([("a", 2, None), ("b", 1, "m"), ("c", None, "")], "sample_id string, dataset_index int, model_name string").withColumn("service_name", F.lit("s"))
+    assert [r.sample_id for r in S.first_samples(rows_, 2).collect()] == ["b", "a"]
+    assert [r.sample_id for r in S.lookup(rows_, dataset_index=None).collect()] == ["c"]
+    assert {r.sample_id for r in S.first_service(rows_, ["sample_id"]).collect()} == {"a", "c"}
+    registry = spark.createDataFrame([("s", None), ("t", False)], "service_name string, available boolean")
+    assert [r.service_name for r in S.available_services(registry, ["ALL"]).collect()] == ["s"]
+    assert [r.service_name for r in S.available_services(registry, [" T"]).collect()] == ["t"]
+    good, bad = S.quarantine(rows_, ["dataset_index"], {"model_name": ["m"]})
+    assert {r.sample_id for r in good.collect()} == {"a", "b"} and [r.reason for r in bad.collect()] == ["dataset_index missing"]
+    assert S.quarantine(rows_.limit(0), ["sample_id"], {})[1].isEmpty()
