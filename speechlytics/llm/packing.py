@@ -447,3 +447,23 @@ def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
         "container_kind", "capacity_tokens", "n_containers", "n_tokens",
         (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"), "pattern_share",
     )
+
+
+def invariants(packed: DataFrame, lengths: DataFrame, containers: DataFrame) -> DataFrame:
+    """Per kind: (container_kind, n_documents, over_capacity, split_needlessly, tokens_lost), the last three 0 in any packing."""
+    sizes = containers.groupBy("container_kind").agg(F.max("capacity_tokens").alias("c"))
+    boxes = packed.filter(F.col("container_id") > 0).groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n"))
+    over = boxes.join(sizes, "container_kind").groupBy("container_kind").agg(F.count_if(F.col("n") > F.col("c")).alias("over_capacity"))
+    each = packed.groupBy("container_kind", "doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("n"))
+    wanted = lengths.select("doc_id", F.col("n_tokens").alias("length"))
+    per_kind = (
+        each.join(wanted, "doc_id").join(sizes, "container_kind").groupBy("container_kind").agg(
+            F.count(F.lit(1)).alias("n_documents"),
+            F.count_if((F.col("parts") > 1) & (F.col("length") <= F.col("c"))).alias("split_needlessly"),
+            F.sum(F.abs(F.col("length") - F.col("n"))).alias("tokens_lost"),
+        )
+    )
+    return per_kind.join(over, "container_kind", "left").select(
+        "container_kind", "n_documents", F.coalesce("over_capacity", F.lit(0)).cast("bigint").alias("over_capacity"),
+        "split_needlessly", "tokens_lost",
+    )

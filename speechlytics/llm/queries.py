@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from speechlytics.llm import addresses, consensus, leakage, packing, quantiles, spans
 from speechlytics.plans.registry import Registry
-from speechlytics.session import clean_key, table
+from speechlytics.session import Written, clean_key, table
 
 llm_queries = Registry()
 
@@ -124,6 +124,22 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packing.packings(table(spark, sf_dir, "documents"), kinds), kinds)
 
 
+@llm_queries.query(
+    """
+    SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, 0::BIGINT AS over_capacity,
+           0::BIGINT AS split_needlessly, 0::BIGINT AS tokens_lost
+    FROM containers WHERE capacity_tokens >= 1 GROUP BY container_kind
+    """
+)
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind what must hold of a packing: every document is there, no container is over its capacity, no document is split
+    that fits, and every document's tokens are all packed once."""
+    documents, kinds = table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers")
+    lengths = Written(packing.token_lengths(documents), "lengths").read()
+    packed = Written(packing.packings(documents, kinds), "packed").read()
+    return packing.invariants(packed, lengths, kinds)
+
+
 @llm_queries.query()
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the held-out items it contains a passage of."""
