@@ -78,5 +78,22 @@ def service_report(histogram: list[tuple[str, int]], summary: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
+def summary_report(rows: list[dict], title: str = "Results") -> str:
+    """All services' figures as text, from the few rows of a ranked summary: a table and who leads each ranking."""
+    percent, ms = lambda v: "-" if v is None else f"{100 * v:.2f}%", lambda v: "-" if v is None else f"{1000 * v:.0f}ms"
+    named = lambda r: f"{r['service_name']} {r['model_name']}".strip()
+    lines = [f"# {title}", "", f"{len(rows)} services, {sum(r['sample_count'] for r in rows)} scored samples", ""]
+    for rank, what in (("rank_perfect", "most samples without an error"), ("rank_pooled", "lowest pooled error rate"), ("rank_latency", "fastest")):
+        lines += [f"- {what}: {named(r)}" for r in rows if r.get(rank) == 1]
+    lines += ["", "| service | samples | without error | mean WER | pooled WER | median latency |", "|---|---|---|---|---|---|"]
+    for r in rows:
+        share = r["perfect_count"] / r["sample_count"] if r["sample_count"] else None
+        lines.append(
+            f"| {named(r)} | {r['sample_count']} | {percent(share)} | {percent(r['wer_mean'])} | {percent(r['pooled_wer'])} | {ms(r['ttfb_median'])} |"
+        )
+    return "\n".join(lines) + "\n"
+
+
 def save_text(text: str, path: str) -> None:
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(text)

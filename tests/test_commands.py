@@ -111,5 +111,7 @@ def test_tables_and_charts(spark, here, tmp_path, capsys):
     assert "surname_passed" in capsys.readouterr().out and (tmp_path / "i/failures").exists()
     commands.main(["plot", "--data", here, "--out", str(tmp_path / "p.svg"), "--title", "A & B"])
     assert "A &amp; B" in (tmp_path / "p.svg").read_text() and "<circle" in (tmp_path / "p.svg").read_text()
+    commands.main(["report", "--data", here, "-o", str(tmp_path / "all")])
+    assert "most samples without an error: " in (tmp_path / "all/report.md").read_text()
     commands.main(["report", "--data", here, "--service", "voxaria", "-m", "", "-o", str(tmp_path / "rep")])
     assert "dataset_index" in spark.read.option("header", True).csv(str(tmp_path / "rep")).columns
