@@ -115,3 +115,17 @@ def test_tables_and_charts(spark, here, tmp_path, capsys):
     assert "most samples without an error: " in (tmp_path / "all/report.md").read_text()
     commands.main(["report", "--data", here, "--service", "voxaria", "-m", "", "-o", str(tmp_path / "rep")])
     assert "dataset_index" in spark.read.option("header", True).csv(str(tmp_path / "rep")).columns
+
+
+@needs_data
+def test_download(spark, here, tmp_path, capsys):
+    data = [(f"x{k}", "en" if k % 4 else "de", k % 5 == 0, f"{k}.pcm", float(k % 12)) for k in range(60)]
+    spark.createDataFrame(data, "id string, language string, synthetic boolean, audio_path string, duration_seconds double").write.parquet(str(tmp_path / "set"))
+    command = ["download", "--source", str(tmp_path / "set"), "--data", str(tmp_path / "d"), "--limit", "10", "--seed", "3"]
+    commands.main(command)
+    commands.main(command)  # changes nothing
+    commands.main([*command, "--offset", "10"])
+    got = spark.read.parquet(str(tmp_path / "d/samples.parquet")).collect()
+    assert sorted(r.dataset_index for r in got) == list(range(20)) and len({r.sample_id for r in got}) == 20
+    kept = {f"{k}.pcm" for k in range(60) if k % 4 and k % 5}
+    assert {r.audio_path for r in got} <= kept and len({r.audio_path for r in got}) == 20
