@@ -33,6 +33,13 @@ SETTLED = 3
 _PARTS = ", ".join(f"{p} string" for p in Parts._fields)
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by sorted runs, whatever the tables' sizes seem to be. What is planned is taken from the length of compressed
+    files, a small part of what the rows take in memory, and a join once planned as a broadcast stays one; so all
+    that is sent this way would grow with the input, and the driver holds it."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _parsed(column: str, parse) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,8 +66,8 @@ def mentions(addresses: DataFrame, texts: DataFrame) -> DataFrame:
     ]
     known = addresses.select("id").distinct()
     heard = (
-        texts.select("id", "transcript").filter(F.col("transcript").isNotNull() & (F.trim("transcript") != ""))
-        .join(known, "id", "left_semi").distinct()
+        _met(texts.select("id", "transcript").filter(F.col("transcript").isNotNull() & (F.trim("transcript") != "")), known, "id", "left_semi")
+        .distinct()
         .mapInArrow(_parsed("transcript", parse_text), schema)
     )
     return reduce(DataFrame.unionByName, [*own, heard])
@@ -95,7 +102,7 @@ def cluster_spellings(names: DataFrame, homes: DataFrame | None = None) -> DataF
     # Of equal counts the alphabetically greater name is the root; a root has none greater.
     best = keyed.groupBy("place", "key").agg(F.max(rank).alias("top"))
     near = (
-        keyed.join(best, ["place", "key"])
+        _met(keyed, best, ["place", "key"])
         .filter(F.col("top") > rank)
         .filter((F.col("top.n") >= DOMINANCE * F.col("n")) | (F.col("n") <= SELDOM))
         .select("place", "name", "top").distinct()
@@ -104,21 +111,19 @@ def cluster_spellings(names: DataFrame, homes: DataFrame | None = None) -> DataF
     sure = near.filter(long)
     if homes is not None:
         marks = homes.select("place", "name", "mark").distinct()
-        shared = (
-            near.filter(~long).join(marks, ["place", "name"]).withColumn("other", F.col("top.name"))
-            .join(marks.withColumnRenamed("name", "other"), ["place", "other", "mark"], "left_semi")
-        )
+        seen = _met(near.filter(~long), marks, ["place", "name"]).withColumn("other", F.col("top.name"))
+        shared = _met(seen, marks.withColumnRenamed("name", "other"), ["place", "other", "mark"], "left_semi")
         sure = sure.unionByName(shared.select("place", "name", "top").distinct())
     drawn = sure.groupBy("place", "name").agg(F.max("top").alias("top")).select("place", "name", F.col("top.name").alias("up"))
-    linked = Written(names.join(drawn, ["place", "name"], "left").withColumn("root", F.coalesce("up", "name")).drop("up"), "spellings")
+    linked = Written(_met(names, drawn, ["place", "name"], "left").withColumn("root", F.coalesce("up", "name")).drop("up"), "spellings")
     while True:  # doubling: a chain of k slips takes log2(k) rounds
         rows = linked.read()
         above = rows.filter(F.col("root") != F.col("name")).select("place", F.col("name").alias("root"), F.col("root").alias("above"))
-        moved = rows.join(above, ["place", "root"], "left_semi")
+        moved = _met(rows, above, ["place", "root"], "left_semi")
         if moved.isEmpty():
             return rows.select("place", "name", "root", "n")
         step = Written(
-            rows.join(above, ["place", "root"], "left").withColumn("root", F.coalesce("above", "root")).drop("above"), "spellings"
+            _met(rows, above, ["place", "root"], "left").withColumn("root", F.coalesce("above", "root")).drop("above"), "spellings"
         )
         linked.drop()
         linked = step
@@ -145,7 +150,7 @@ def _suburbs(votes: DataFrame, home: DataFrame, streets: DataFrame) -> DataFrame
     Spellings follow the dominating ones; a root that is a few letters from the locality's first suburb, or a part of its
     name and seldom, is that suburb as well.
     """
-    said = votes.filter(F.col("part") == "suburb").select("id", F.col("value").alias("name"), "n").join(home, "id")
+    said = _met(votes.filter(F.col("part") == "suburb").select("id", F.col("value").alias("name"), "n"), home, "id")
     counted = said.groupBy("place", "name").agg(F.sum("n").alias("n"))
     roots = cluster_spellings(counted, said.select("place", "name", F.col("id").alias("mark")))
     sizes = roots.groupBy("place", "root").agg(F.sum("n").alias("n"))
@@ -154,11 +159,11 @@ def _suburbs(votes: DataFrame, home: DataFrame, streets: DataFrame) -> DataFrame
     inside = (F.contains(top, F.col("root")) | F.contains(F.col("root"), top)) & (F.col("n") * DOMINANCE <= F.col("top.n"))
     close = F.levenshtein("root", top) <= F.greatest(F.lit(2), F.floor(F.least(F.length("root"), F.length(top)) / 4))
     street = streets.select("place", F.col("name").alias("root"), F.lit(True).alias("street")).distinct()
-    settled = sizes.join(first, "place").join(street, ["place", "root"], "left").select(
+    settled = _met(_met(sizes, first, "place"), street, ["place", "root"], "left").select(
         "place", "root",
         F.when((F.col("root") != top) & (inside | close), top).when(F.col("street") & (F.col("n") == 1), None).otherwise(F.col("root")).alias("suburb"),
     )
-    each = said.join(roots.select("place", "name", "root"), ["place", "name"]).join(settled, ["place", "root"])
+    each = _met(_met(said, roots.select("place", "name", "root"), ["place", "name"]), settled, ["place", "root"])
     by = each.filter(F.col("suburb").isNotNull()).groupBy("id", "suburb").agg(F.sum("n").alias("n"))
     return by.groupBy("id").agg(F.min(F.struct(-F.col("n"), F.col("suburb")))["suburb"].alias("suburb"))
 
@@ -181,18 +186,18 @@ def resolve(addresses: DataFrame, texts: DataFrame) -> DataFrame:
     # Stage 1: localities. A postcode that hardly any address has gives way to one that is a slip away and has many with
     # the same suburb; an address without postcode takes those its suburb, or a slip of it, is known in.
     coded = tops.filter(F.col("postcode").isNotNull())
-    with_suburb = of("suburb").join(coded.select("id", F.col("postcode").alias("place")), "id")
+    with_suburb = _met(of("suburb"), coded.select("id", F.col("postcode").alias("place")), "id")
     known = with_suburb.groupBy("place", F.col("suburb").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     lonely = coded.groupBy("postcode").agg(F.count(F.lit(1)).alias("uses")).filter(F.col("uses") <= SELDOM)
+    alone = _met(coded.select("id", "postcode", F.col("suburb").alias("name")), lonely, "postcode")
     moved = (
-        coded.select("id", "postcode", F.col("suburb").alias("name")).join(lonely, "postcode")
-        .join(known.filter(F.col("n") >= SETTLED), "name").filter(_slip(F.col("postcode"), F.col("place")))
+        _met(alone, known.filter(F.col("n") >= SETTLED), "name").filter(_slip(F.col("postcode"), F.col("place")))
         .select("id", "place", (F.log1p("n") + 100.0).alias("score"))
     )
-    lost = of("suburb").join(coded.select("id"), "id", "left_anti").withColumn("key", F.explode(deletion_keys(F.col("suburb"))))
+    lost = _met(of("suburb"), coded.select("id"), "id", "left_anti").withColumn("key", F.explode(deletion_keys(F.col("suburb"))))
     theirs = known.withColumn("key", F.explode(deletion_keys(F.col("name")))).groupBy("key", "place").agg(F.sum("n").alias("n"))
     by_suburb = (
-        lost.select("id", "key").distinct().join(theirs, "key").groupBy("id", "place").agg(F.max("n").alias("seen"))
+        _met(lost.select("id", "key").distinct(), theirs, "key").groupBy("id", "place").agg(F.max("n").alias("seen"))
         .select("id", "place", F.log1p("seen").alias("score"))
     )
     by_code = of("postcode").select("id", F.col("postcode").alias("place"), (F.col("n") * 3.0).alias("score"))
@@ -202,18 +207,18 @@ def resolve(addresses: DataFrame, texts: DataFrame) -> DataFrame:
 
     # The gazetteer: per locality the street names with their spellings, and the types and suburbs of each.
     home = Written(_best(localities, 1, ["id"], ["place"]).select("id", "place"), "homes").read()
-    named = of("street").join(home, "id").select("id", "place", F.col("street").alias("name"))
+    named = _met(of("street"), home, "id").select("id", "place", F.col("street").alias("name"))
     house = F.concat_ws("|", F.coalesce("unit", F.lit("")), "number")
     marks = named.select("place", "name", F.concat(F.lit("id "), "id").alias("mark")).unionByName(
-        named.join(tops.filter(F.col("number").isNotNull()).select("id", house.alias("house")), "id")
+        _met(named, tops.filter(F.col("number").isNotNull()).select("id", house.alias("house")), "id")
         .select("place", "name", F.concat(F.lit("house "), "house").alias("mark"))
     )
     counts = named.groupBy("place", "name").agg(F.count(F.lit(1)).alias("n"))
     spellings = cluster_spellings(counts, marks)
 
     # Stage 2: streets of those localities. A spelling seen there has its root; another may be one slip from some.
-    tried = localities.join(of("street").withColumnRenamed("n", "said"), "id")
-    exact = tried.join(spellings.select("place", F.col("name").alias("street"), "root"), ["place", "street"], "left")
+    tried = _met(localities, of("street").withColumnRenamed("n", "said"), "id")
+    exact = _met(tried, spellings.select("place", F.col("name").alias("street"), "root"), ["place", "street"], "left")
     there = exact.filter(F.col("root").isNotNull()).select(
         "id", "place", "root", (F.col("score") + F.col("said")).alias("score")
     )
@@ -221,7 +226,7 @@ def resolve(addresses: DataFrame, texts: DataFrame) -> DataFrame:
     entries = spellings.withColumn("key", F.explode(deletion_keys(F.col("name")))).groupBy("place", "key").agg(
         F.max_by("root", F.struct("n", "root")).alias("near"))
     guessed = (
-        rest.drop("root").join(entries, ["place", "key"])
+        _met(rest.drop("root"), entries, ["place", "key"])
         .select("id", "place", F.col("near").alias("root"), (F.col("score") + 0.5 * F.col("said")).alias("score"))
     )
     roots = there.unionByName(guessed).groupBy("id", "place", "root").agg(F.sum("score").alias("score"))
@@ -230,12 +235,11 @@ def resolve(addresses: DataFrame, texts: DataFrame) -> DataFrame:
     # Stage 3: types. One that is said counts much more than one that is only usual for the street.
     parts = tops.select("id", "unit", "number", "type")
     kinds = (
-        beam.join(home, ["id", "place"], "left_semi").join(parts.filter(F.col("type").isNotNull()), "id")
+        _met(_met(beam, home, ["id", "place"], "left_semi"), parts.filter(F.col("type").isNotNull()), "id")
         .groupBy("place", "root", F.col("type").alias("kind")).agg(F.count_distinct("id").alias("uses"))
     )
     typed = (
-        beam.join(parts, "id")
-        .join(kinds, ["place", "root"], "left")
+        _met(_met(beam, parts, "id"), kinds, ["place", "root"], "left")
         .withColumn(
             "score",
             F.col("score")
@@ -245,13 +249,13 @@ def resolve(addresses: DataFrame, texts: DataFrame) -> DataFrame:
     )
     suburbs = _suburbs(votes, home, spellings)
     chosen = _best(typed, 1, ["id"], ["place", "root", "kind"]).withColumn("type", F.coalesce("type", "kind", F.lit("")))
-    chosen = Written(chosen.filter(F.col("number").isNotNull()).join(suburbs, "id", "left"), "chosen").read()
+    chosen = Written(_met(chosen.filter(F.col("number").isNotNull()), suburbs, "id", "left"), "chosen").read()
     usual = (
         chosen.filter(F.col("suburb").isNotNull()).groupBy("place", "root", "type", "suburb").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("place", "root", "type").agg(F.min(F.struct(-F.col("n"), F.col("suburb")))["suburb"].alias("usual"))
     )
     street = F.concat_ws("|", "place", "root", "type", F.coalesce("suburb", "usual", F.lit("")))
-    return chosen.join(usual, ["place", "root", "type"], "left").select("id", street.alias("street_id"), "unit", "number")
+    return _met(chosen, usual, ["place", "root", "type"], "left").select("id", street.alias("street_id"), "unit", "number")
 
 
 def same_place(resolved: DataFrame) -> DataFrame:
@@ -259,7 +263,7 @@ def same_place(resolved: DataFrame) -> DataFrame:
     slim = resolved.select("street_id", F.coalesce("unit", F.lit("")).alias("unit"), "number", "id")
     a = slim.withColumnRenamed("id", "id_a")
     b = slim.withColumnRenamed("id", "id_b")
-    return a.join(b, ["street_id", "unit", "number"]).filter(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
+    return _met(a, b, ["street_id", "unit", "number"]).filter(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
 
 
 def places(addresses: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -271,8 +275,8 @@ def places(addresses: DataFrame, resolved: DataFrame) -> DataFrame:
     groups = resolved.groupBy("street_id", unit, "number").agg(
         F.min("id").alias("place_id"), F.count(F.lit(1)).alias("n_ids")
     )
-    placed = resolved.select("id", "street_id", unit, "number").join(groups, ["street_id", "unit", "number"])
+    placed = _met(resolved.select("id", "street_id", unit, "number"), groups, ["street_id", "unit", "number"])
     ids = addresses.filter(F.col("id").isNotNull()).select("id").distinct()
-    return ids.join(placed, "id", "left").select(
+    return _met(ids, placed, "id", "left").select(
         "id", F.coalesce("place_id", "id").alias("place_id"), F.coalesce("n_ids", F.lit(1)).alias("n_ids")
     )

@@ -153,3 +153,23 @@ def test_chains_of_slips_end_in_one_root(spark):
     names = [("p", "abcdefghijklm"[: 7 + k], 4 ** (6 - k)) for k in range(6)]
     got = {r.name: r.root for r in A.cluster_spellings(spark.createDataFrame(names, "place string, name string, n long")).collect()}
     assert set(got.values()) == {"abcdefg"}
+
+
+def test_no_table_is_sent_through_the_driver(spark):
+    items, texts, truth = simulated()
+    df = spark.createDataFrame(items, f"id string, expected {EXPECTED}")
+    heard = spark.createDataFrame(texts, "id string, transcript string")
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def executed():
+        bus.waitUntilEmpty()
+        runs = store.executionsList()
+        return {r.executionId(): r.physicalPlanDescription() for r in (runs.apply(k) for k in range(runs.size()))}
+
+    earlier = executed().keys()
+    resolved = A.resolve(df, heard)
+    assert A.same_place(resolved).count() > 0 and A.places(df, resolved).count() == len(truth)
+    plans = [plan for k, plan in executed().items() if k not in earlier]
+    assert sum("SortMergeJoin" in p for p in plans) >= 8
+    # The tables are far below the session's threshold, which is compared with the length of compressed files.
+    assert not any("Broadcast" in p for p in plans)
