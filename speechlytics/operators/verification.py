@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechlytics.functions import identity as I
+from speechlytics.functions import spoken
 from speechlytics.operators.stats import beside, true_median
 from speechlytics.operators.store import latest
-from speechlytics.session import fresh
+from speechlytics.session import Written, fresh
 
 NAME_RULES = (("exact", 1.0), ("similarity >= 0.95", 0.95), ("similarity >= 0.90", 0.9), ("similarity >= 0.85", 0.85))
 SIMILAR_ENOUGH = 0.8
@@ -186,6 +191,8 @@ def name_rule_rates(items: DataFrame, results: DataFrame) -> DataFrame:
 
 #: Values that a block of records holds in an all-against-all comparison.
 BLOCK = 2000
+#: Texts and values that a task compares, and the number of tasks from which it compares more.
+NEAR_BLOCK, NEAR_TASKS = 1000, 4000
 
 
 def all_against_all(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -207,28 +214,84 @@ def impostor_pairs(honest: DataFrame, records: DataFrame, block: int = BLOCK) ->
     return all_against_all(honest, others, block).filter(F.col("id") != F.col("other_id"))
 
 
+def near_pairs(texts: DataFrame, values: DataFrame, least: float, block: int = NEAR_BLOCK) -> DataFrame:
+    """(text, other, m, s): of all different texts beside all different values those with a window_sim of at least ``least``.
+
+    Both sides, counted first, are cut in blocks, and each task has one block of either (see ``spoken.near_pairs``), so that
+    pairs are made within it and only the near ones leave it. ``texts`` is (text), ``values`` (other, m); none is NULL.
+    """
+    n_texts, n_values = texts.count(), values.count()
+    block = max(block, math.isqrt(n_texts * n_values // NEAR_TASKS))
+    down, across = max(1, -(-n_texts // block)), max(1, -(-n_values // block))
+    of = lambda column, blocks: F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+    places = lambda blocks, place: F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), place)).alias("place")
+    left = texts.select("text", F.lit(None).cast("string").alias("other"), F.lit(None).cast("long").alias("m"), of("text", down).alias("row"))
+    left = left.select("text", "other", "m", places(across, lambda k: F.col("row") * across + k))
+    right = values.select(F.lit(None).cast("string").alias("text"), "other", F.col("m").cast("long").alias("m"), of("other", across).alias("column"))
+    right = right.select("text", "other", "m", places(down, lambda k: k * across + F.col("column")))
+    # The number of partitions is given, so AQE, which sees how small they are, leaves them apart.
+    placed = left.union(right).repartitionById(down * across, F.col("place")).drop("place")
+    return placed.mapInArrow(_near_in_block(least), "text string, other string, m long, s double")
+
+
+def _near_in_block(least: float) -> Callable:
+    """Near pairs of the texts and the values of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, values, counts = [], [], []
+        for batch in batches:
+            for text, other, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if other is None:
+                    texts.append(text)
+                else:
+                    values.append(other)
+                    counts.append(m)
+        i, j, s = spoken.near_pairs(texts, values, least)
+        for k in range(0, len(i), 10_000):
+            x, y = i[k : k + 10_000].tolist(), j[k : k + 10_000].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([texts[t] for t in x]), pa.array([values[v] for v in y]), pa.array([counts[v] for v in y], pa.int64()), pa.array(s[k : k + 10_000])],
+                names=["text", "other", "m", "s"],
+            )
+
+    return run
+
+
 def cross_rates(honest: DataFrame, records: DataFrame, score: str, rules: tuple[float, ...]) -> DataFrame:
     """Per vendor and threshold: passes of genuine callers against their own record and of all others against it.
 
     ``honest`` is (id, vendor, text), already normalised; ``records`` (id, value), normalised too. Only different texts and
-    values meet, each pair once, with the numbers of transcripts and records they stand for; pairs of an id with itself are
-    then taken off.
+    values meet, each pair once, with the numbers of transcripts and records they stand for, and only pairs that pass the
+    least threshold are made rows; how many there are is a product. Pairs of an id with itself are then taken off.
     """
+    honest = Written(honest.filter(F.col("text").isNotNull()), "heard").read()
+    records = Written(records, "records").read()
     texts = honest.groupBy("vendor", "text").agg(F.count(F.lit(1)).alias("n"))
     values = records.groupBy(F.col("value").alias("other")).agg(F.count(F.lit(1)).alias("m"))
-    met = all_against_all(texts.select("text").distinct(), values).withColumn("s", getattr(I, score)(F.col("text"), F.col("other")))
-    rule = F.explode(F.array(*map(F.lit, rules))).alias("least")
-    every = met.join(texts, "text").select("vendor", (F.col("n") * F.col("m")).alias("c"), "s", rule)
-    own = honest.join(records, "id").groupBy("vendor", "text", F.col("value").alias("other")).agg(F.count(F.lit(1)).alias("c"))
-    own = own.withColumn("s", getattr(I, score)(F.col("text"), F.col("other"))).select("vendor", "c", "s", rule)
-    sums = lambda rows, name: rows.groupBy("vendor", "least").agg(
-        F.sum(F.when(F.col("s") >= F.col("least"), F.col("c")).otherwise(0)).alias(f"{name}_passed"), F.sum("c").alias(f"{name}_n"))
-    both = sums(every, "all").join(sums(own, "genuine"), ["vendor", "least"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return both.select(
-        "vendor", "least", zero(F.col("genuine_passed")).alias("genuine_passed"), zero(F.col("genuine_n")).alias("genuine_n"),
-        (F.col("all_passed") - zero(F.col("genuine_passed"))).alias("impostor_passed"),
-        (F.col("all_n") - zero(F.col("genuine_n"))).alias("impostor_n"),
+    different, known = texts.select("text").distinct(), values.filter(F.col("other").isNotNull())
+    if score == "window_sim":
+        met = near_pairs(different, known, min(rules))
+    else:
+        met = all_against_all(different, known).withColumn("s", getattr(I, score)(F.col("text"), F.col("other")))
+        met = met.filter(F.col("s") >= min(rules))
+    met = Written(met, "met").read()
+    own = honest.join(records, "id").groupBy("vendor", "text", F.col("value").alias("other")).agg(F.count(F.lit(1)).alias("own_n"))
+    none, unknown = F.lit(0).cast("long"), F.lit(None).cast("double")
+    every = texts.groupBy("vendor").agg(F.sum("n").alias("n")).crossJoin(values.agg(F.sum("m").alias("m")))
+    counted = (
+        every.filter(F.col("m").isNotNull())
+        .select("vendor", (F.col("n") * F.col("m")).alias("all_n"), none.alias("near"), none.alias("own_n"), unknown.alias("s"))
+        .union(met.join(texts, "text").select("vendor", none, F.col("n") * F.col("m"), none, "s"))
+        .union(own.join(met.drop("m"), ["text", "other"], "left").select("vendor", none, none, "own_n", "s"))
+    )
+    counted = counted.withColumn("least", F.explode(F.array(*map(F.lit, rules))))
+    passed = lambda c: F.sum(F.when(F.col("s") >= F.col("least"), F.col(c)).otherwise(0))
+    sums = counted.groupBy("vendor", "least").agg(
+        passed("own_n").alias("genuine_passed"), F.sum("own_n").alias("genuine_n"), passed("near").alias("all_passed"), F.sum("all_n").alias("all_n")
+    )
+    return sums.select(
+        "vendor", "least", "genuine_passed", "genuine_n", (F.col("all_passed") - F.col("genuine_passed")).alias("impostor_passed"),
+        (F.col("all_n") - F.col("genuine_n")).alias("impostor_n"),
     )
 
 

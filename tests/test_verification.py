@@ -1,3 +1,6 @@
+import random
+
+from speechlytics.functions import spoken
 from speechlytics.operators import verification as V
 from tests.conftest import rows
 
@@ -85,3 +88,33 @@ def test_cross(spark):
     assert (got.genuine_passed, got.genuine_n, got.impostor_passed, got.impostor_n) == (2, 2, 1, 4)
     pairs = spark.createDataFrame([("v", "name", True, False), ("v", "name", True, True)], "vendor string, kind string, synthetic_ok boolean, real_ok boolean")
     assert rows(V.paired_accuracy(pairs)) == [("v", "name", 2, 1.0, 0.5)]
+
+
+def test_cross_makes_no_rows_of_pairs(spark, monkeypatch):
+    def never(*args):
+        raise AssertionError("all pairs as rows")
+
+    monkeypatch.setattr(V, "all_against_all", never)
+    draw, letters = random.Random(3), "abcdeghijklmnorstu"
+    mails = ["".join(draw.choice(letters) for _ in range(draw.randint(6, 14))) + draw.choice(("@inboxly.example", "@post.example")) for _ in range(60)]
+    heard = []
+    for k, mail in enumerate(mails):
+        at = draw.randrange(len(mail))
+        slip = mail[:at] + draw.choice(("", "x", mail[at : at + 1] * 2)) + mail[at + 1 :]
+        heard.append((f"i{k}", draw.choice(("v", "w", None)), draw.choice(("", "myemailis")) + draw.choice((mail, slip))))
+    heard += [("i0", "v", ""), ("i1", "v", "no"), ("i2", "w", mails[3]), ("i3", "w", "x" * 70 + mails[3])]
+    records = [(f"i{k}", mail) for k, mail in enumerate(mails)] + [("j", mails[0]), ("k", ""), ("l", "x" * 66 + mails[3])]
+    rules, expected = (1.0, 0.95, 0.9), {}
+    for i, vendor, text in heard:
+        scores = spoken.best_similarities([spoken.slices_near(text, len(v)) for _, v in records], [v for _, v in records])
+        for least in rules:
+            sums = expected.setdefault((vendor, least), [0, 0, 0, 0])
+            for (j, _), score in zip(records, scores.tolist(), strict=True):
+                sums[0 if i == j else 2] += score >= least
+                sums[1 if i == j else 3] += 1
+    honest = spark.createDataFrame(heard, "id string, vendor string, text string")
+    got = V.cross_rates(honest, spark.createDataFrame(records, "id string, value string"), "window_sim", rules)
+    assert {(r.vendor, r.least): list(r[2:]) for r in got.collect()} == expected
+    texts, values = honest.select("text").distinct(), spark.createDataFrame([(m, 1) for m in mails], "other string, m long")
+    assert rows(V.near_pairs(texts, values, 0.9, block=7)) == rows(V.near_pairs(texts, values, 0.9)) != []
+    assert V.cross_rates(honest, spark.createDataFrame([], "id string, value string"), "window_sim", rules).count() == 0
